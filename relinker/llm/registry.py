@@ -4,14 +4,42 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from relinker.llm import packing, secrets, simhash, urls
 from relinker.llm.common import table
-from relinker.llm.packing import pack_documents
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
-QUERIES = {"op1_packing": op1_packing}
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(i).alias(f"n_{k}") for i, k in enumerate(secrets.BASE)),
+        F.size("added").cast("long").alias("n_markov"),
+        F.sha2(secrets.span_digest(F.col("base")), 256).alias("base_sha256"),
+        secrets.span_digest(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), words=3, distance=3)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op4_secrets": op4_secrets,
+    "op6_urls": op6_urls,
+    "op7_simhash": op7_simhash,
+}
 ORACLE: dict[str, str] = {}
