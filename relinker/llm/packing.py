@@ -220,7 +220,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int, salts: int | None = None) ->
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     base = groups.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_base"))
     order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("_row", F.row_number().over(order)).join(base, ["length", "_salt"])
+    ranked = salted.withColumn("_row", F.row_number().over(order)).join(base.hint("merge"), ["length", "_salt"])
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
