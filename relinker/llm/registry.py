@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relinker.llm import packing, secrets, simhash, urls
+from relinker.llm import decontaminate, lines, media, packing, secrets, simhash, urls
 from relinker.llm.common import table
 
 
@@ -36,10 +36,25 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents"))
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_units(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op4_secrets": op4_secrets,
     "op6_urls": op6_urls,
     "op7_simhash": op7_simhash,
+    "op8_media": op8_media,
+    "op9_lines": op9_lines,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLE: dict[str, str] = {}
