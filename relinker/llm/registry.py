@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relinker.llm import decontaminate, langid, lines, media, packing, quality, secrets, simhash, urls
+from relinker.llm import decontaminate, langid, lines, media, packing, quality, secrets, simhash, suffix, urls
 from relinker.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix.substring_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,
+    "op5_substrings": op5_substrings,
     "op6_urls": op6_urls,
     "op7_simhash": op7_simhash,
     "op8_media": op8_media,
