@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage reads what its predecessor kept."""
+"""The corpus pipeline: each stage reads what its predecessor kept.
+
+All but the last stage return the columns of ``documents``. Rows with a null id pass
+the stages that decide by id; null texts pass as empty ones.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +10,52 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from relinker.llm.common import saved, table
+from relinker.llm.decontaminate import drop_contaminated
 from relinker.llm.packing import pack_documents
+from relinker.llm.quality import quality_scores
+from relinker.llm.secrets import redact
+from relinker.llm.simhash import drop_near_duplicates
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents whose text the classifier rejects (a probability of label 1 under 0.3)."""
+    scores = quality_scores(docs, table(spark, sf_dir, "labels"))
+    rejected = scores.filter("predicted = 0").select(F.col("doc_id").alias("rejected")).distinct()
+    return docs.join(rejected, F.col("doc_id") == F.col("rejected"), "left_anti")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    return drop_near_duplicates(docs, words=5, similarity=0.8)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark item."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets masked in the text; ``n_chars`` follows."""
+    return redact(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing into sequences of 2048 tokens."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
-STAGES: list[tuple[str, Stage]] = [("best-fit packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", good_quality),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminated),
+    ("secret scans", without_secrets),
+    ("best-fit packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,4 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+#: Not expressible: a trained network, fingerprints and a tokenizer decide.
 ORACLE_SQL = None
