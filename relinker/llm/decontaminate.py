@@ -115,7 +115,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
 
 def contamination(
     df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-    item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.05, block_bytes: int = 4_000_000,
+    item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.08, block_bytes: int = 4_000_000,
 ) -> DataFrame:
     """``doc_id, item_id, distance, end`` for each row of ``df`` and each item that it holds.
 
@@ -145,7 +145,7 @@ def contamination(
 
 def drop_contaminated(
     df: DataFrame, items: DataFrame, text_col: str = "text", *,
-    item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.05, block_bytes: int = 4_000_000,
+    item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.08, block_bytes: int = 4_000_000,
 ) -> DataFrame:
     """``df`` without the rows whose text holds an item; all columns stay, and rows with a null text."""
     for name, block in item_blocks(items, item_id, item_text, block_bytes):
