@@ -2,8 +2,8 @@
 
 Every token has a sparse random index vector that its hash gives. Over the whole
 corpus, Spark adds up for each token the index vectors of its neighbours; a document
-is the mean, spread and extremes of its tokens' vectors; a two-layer network gives
-the probability of label 1, calibrated by a temperature.
+is the mean, spread and extremes of its tokens' vectors and how far neighbours agree;
+a two-layer network gives the probability of label 1, calibrated by a temperature.
 """
 
 from __future__ import annotations
@@ -106,18 +106,34 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return out
 
 
-WIDE = 4 * DIMS
+LAGS = (1, 2)
+WIDE = 4 * DIMS + 2 * len(LAGS)
+
+
+def _agreement(rows: np.ndarray, vectors: np.ndarray, lag: int) -> tuple[float, float]:
+    """Mean product of the vectors of tokens ``lag`` apart, and how often they are one token."""
+    n, product = len(rows) - lag, 0.0
+    if n <= 0:
+        return 0.0, 0.0
+    for at in range(0, n, 1 << 14):
+        left, right = rows[at : min(n, at + (1 << 14))], rows[at + lag : min(n, at + (1 << 14)) + lag]
+        product += float(np.einsum("ij,ij->", vectors[left], vectors[right]))
+    return product / n, float(np.mean(rows[lag:] == rows[:-lag]))
 
 
 def pooled(text: str, vectors: np.ndarray) -> np.ndarray:
-    """Mean, spread, least and greatest of the vectors of a text's tokens; zeros without a token."""
+    """Mean, spread, least and greatest of the vectors of a text's tokens, and the agreement of tokens near each other.
+
+    Zeros without a token.
+    """
     rows = token_rows(text)
     if not len(rows):
         return np.zeros(WIDE, np.float32)
     met, many = np.unique(rows, return_counts=True)
     v, share = vectors[met], (many / len(rows)).astype(np.float32)
     mean = share @ v
-    return np.concatenate([mean, np.sqrt(np.maximum(0, share @ (v * v) - mean * mean)), v.min(axis=0), v.max(axis=0)])
+    near = np.array([x for lag in LAGS for x in _agreement(rows, vectors, lag)], np.float32)
+    return np.concatenate([mean, np.sqrt(np.maximum(0, share @ (v * v) - mean * mean)), v.min(axis=0), v.max(axis=0), near])
 
 
 @dataclass
