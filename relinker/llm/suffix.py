@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relinker.llm.common import parts, saved
+from relinker.llm.common import parts, saved, shared_dir
 
 _ODD = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -428,14 +428,15 @@ def substring_dedup(
     nothing is removed from it or because of it. Other columns are not carried.
     ``hot`` parts ways of computing (see above), not results.
 
-    The texts are written once as a table bucketed by id, so that neither later pass
-    shuffles them.
+    The texts are written once to the shared folder as a table bucketed by id, so that
+    neither later pass shuffles them.
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.crc32(text.cast("binary")).alias("tag"))
     name = f"dedup_{uuid.uuid4().hex}"
-    docs.write.option("compression", "zstd").bucketBy(parts(spark), "doc_id").saveAsTable(name)
+    place = f"{shared_dir(spark)}/{name}"
+    docs.write.option("compression", "zstd").option("path", place).bucketBy(parts(spark), "doc_id").saveAsTable(name)
     docs = spark.table(name)
     ranges = repeated_ranges(docs, length, hot, shard)
     lists = ranges.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("start", "end")), F.collect_list("tag").alias("tags"))
