@@ -1,5 +1,8 @@
 """Substring dedup by hashing lines or paragraphs, or the sentences of lines.
 
+A long unit is cut further, after words that their own hash picks, so that a passage
+in the middle of a line is cut as it is elsewhere.
+
 Units are normalised and hashed; the earliest occurrence of each digest over all
 documents stays and the others are marked for removal, with their place in the
 original text.
@@ -8,6 +11,8 @@ original text.
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +22,7 @@ from pyspark.sql import functions as F
 
 from relinker.llm.common import documents, saved
 
+_WORD = re.compile(r"\S+")
 _ENDS = {
     "paragraph": re.compile(r"\n[ \t\r]*\n\s*"),
     "line": re.compile(r"\n"),
@@ -24,6 +30,33 @@ _ENDS = {
 }
 
 
+LONG, EVERY = 24, 12
+
+
+def _short_units(text: str, unit: str, min_words: int) -> Iterator[tuple[int, int, list[str]]]:
+    """Start, end and words of each unit, those of over ``LONG`` words in parts of ``min_words`` at least."""
+    at = 0
+    for m in [*_ENDS[unit].finditer(text), None]:
+        end = m.start() if m else len(text)
+        words = text[at:end].lower().split()
+        if len(words) <= LONG:
+            if words:
+                yield at, end, words
+        else:
+            part: list[str] = []
+            for w in _WORD.finditer(text, at, end):
+                word = w[0].lower()
+                if not part:
+                    start = w.start()
+                part.append(word)
+                if len(part) >= min_words and zlib.crc32(word.encode("utf-8", "surrogatepass")) % EVERY == 0:
+                    yield start, w.end(), part
+                    part = []
+            if part:
+                yield start, end, part
+        at = m.end() if m else end
+
+
 def units(text: str, unit: str, min_words: int) -> list[tuple[int, int, bytes]]:
     """``start, end, normal form`` of each unit that is judged.
 
@@ -40,16 +73,12 @@ def units(text: str, unit: str, min_words: int) -> list[tuple[int, int, bytes]]:
             out.append((run[0][0], run[-1][1], " ".join(words).encode("utf-8", "surrogatepass")))
         run.clear()
 
-    at = 0
-    for m in [*_ENDS[unit].finditer(text), None]:
-        end = m.start() if m else len(text)
-        words = text[at:end].lower().split()
+    for start, end, words in _short_units(text, unit, min_words):
         if len(words) >= min_words:
             close()
-            out.append((at, end, " ".join(words).encode("utf-8", "surrogatepass")))
-        elif words:
-            run.append((at, end, words))
-        at = m.end() if m else end
+            out.append((start, end, " ".join(words).encode("utf-8", "surrogatepass")))
+        else:
+            run.append((start, end, words))
     close()
     return out
 

@@ -1,4 +1,6 @@
+import random
 import re
+import zlib
 
 import pytest
 
@@ -7,21 +9,35 @@ from relinker.llm import lines, registry
 SPLIT = {"line": r"\n", "paragraph": r"\n[ \t\r]*\n\s*", "sentence": r"\n|(?<=[.!?])[ \t]+"}
 
 
+def slow_units(text, unit, least):
+    at, out = 0, []
+    for m in [*re.finditer(SPLIT[unit], text), None]:
+        end = m.start() if m else len(text)
+        spans = [(at + w.start(), at + w.end()) for w in re.finditer(r"\S+", text[at:end])]
+        cuts = [0]
+        if len(spans) > 24:
+            for i, (a, b) in enumerate(spans):
+                if i + 1 - cuts[-1] >= least and zlib.crc32(text[a:b].lower().encode()) % 12 == 0:
+                    cuts.append(i + 1)
+        for a, b in zip(cuts, [*cuts[1:], len(spans)]):
+            if a < b:
+                long = len(spans) > 24
+                out.append((spans[a][0] if long else at, spans[b - 1][1] if b < len(spans) else end, [text[x:y].lower() for x, y in spans[a:b]]))
+        at = m.end() if m else end
+    return out
+
+
 def slow(docs, unit="sentence", least=8):
     """All units in rank order, one after the other."""
     first, out = {}, set()
     for doc, text in sorted(docs):
-        groups, at = [], 0
-        for m in [*re.finditer(SPLIT[unit], text or ""), None]:
-            end = m.start() if m else len(text or "")
-            words = (text or "")[at:end].lower().split()
-            if words:
-                long = len(words) >= least
-                if groups and not long and not groups[-1][3]:
-                    groups[-1][1], groups[-1][2] = end, groups[-1][2] + words
-                else:
-                    groups.append([at, end, words, long])
-            at = m.end() if m else end
+        groups = []
+        for a, b, words in slow_units(text or "", unit, least):
+            long = len(words) >= least
+            if groups and not long and not groups[-1][3]:
+                groups[-1][1], groups[-1][2] = b, groups[-1][2] + words
+            else:
+                groups.append([a, b, words, long])
         for a, b, words, _ in groups:
             if len(words) >= least:
                 kept = first.setdefault(tuple(words), (doc, a))
@@ -57,6 +73,16 @@ def test_passage_put_in_the_middle_of_a_line(spark):
     assert text.startswith("Quite another beginning Word0") and "Word3" not in text and "And an end" in text
 
 
+def test_passage_without_sentences(spark):
+    rng = random.Random(4)
+    words = lambda n: [rng.choice(["ab", "cde", "fg", "hij", "klmn", "op", "qrs"]) + str(rng.randrange(999)) for _ in range(n)]
+    passage = words(70)
+    docs = [(d, " ".join(words(rng.randint(20, 60)) + passage + words(rng.randint(20, 60)))) for d in range(30)]
+    docs += [(d, " ".join(words(150))) for d in range(30, 60)]
+    got = lines.repeated_units(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in got} == slow(docs) and {r.doc_id for r in got} == set(range(1, 30))
+
+
 def test_edges(spark):
     long = "this line has more than eight words in it, really"
     rows = [(1, None, 1), (2, "", 2), (3, f"{long}\n{long}", 3), (3, f"{long}\n{long}", 3), (None, long, 4), (9, (long + "\n") * 3000, 5)]
