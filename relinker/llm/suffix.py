@@ -1,9 +1,10 @@
 """Exact substring dedup with suffix arrays.
 
-Every string of ``length`` bytes has an anchor: the least hash among its 24-byte
+Every string of ``length`` bytes has an anchor: the least hash among its 20-byte
 parts. Equal strings have equal anchors, so an anchor in one document only cannot be
 part of a repeat, and strings that share an anchor can be dealt to one place. The job:
 
+0. whole texts that a smaller document has too go without a search;
 1. each document's runs of windows with one anchor are listed, and anchors met in at
    least two documents are kept (their hashes, not the text, are shuffled);
 2. the text under those runs goes to its anchor's bucket, where shards of it get
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from relinker.llm.common import parts, saved, shared_dir
 
 _ODD = np.uint64(0xBF58476D1CE4E5B9)
+#: Bytes of an anchor: shorter ones meet by chance, longer ones are more.
+PART = 20
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -156,7 +159,7 @@ def anchor_runs(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lengt
     n = len(buffer) - length + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    part = max(1, min(24, length // 2))
+    part = max(1, min(PART, length // 2))
     with np.errstate(over="ignore"):
         bits = [(buffer.astype(np.uint64) + np.uint64(1)) * _ODD]
         factor = _ODD
@@ -195,14 +198,23 @@ def _squeeze(data: bytes) -> bytes:
 
 
 def _pack(numbers: np.ndarray) -> bytes:
-    """Whole numbers as compressed byte planes of their differences."""
-    diff = np.diff(numbers.astype(np.int64), prepend=np.int64(0))
-    return _squeeze(np.ascontiguousarray(diff.view(np.uint8).reshape(-1, 8).T).tobytes())
+    """Whole numbers as compressed byte planes."""
+    planes = numbers.astype(np.int64).view(np.uint8).reshape(-1, 8).T
+    return _squeeze(np.ascontiguousarray(planes).tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(raw.T).view(np.int64).ravel())
+    return np.ascontiguousarray(raw.T).view(np.int64).ravel()
+
+
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Ids, nearly in order: their differences, packed."""
+    return _pack(np.diff(ids, prepend=np.int64(0)))
+
+
+def _unpack_ids(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data))
 
 
 def _joined(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
@@ -232,12 +244,12 @@ _LOT = 1 << 20
 
 
 def _list_anchors(length: int, buckets: int, lot: int = 24 << 20):
-    """Per bucket of anchors: documents, run numbers and 40 bits of the anchors, in compressed planes."""
+    """Per bucket of anchors: documents, run numbers and 32 more bits of the anchors, in compressed planes."""
 
     def emit(found):
         doc, run, anchor = (np.concatenate(x) for x in zip(*found))
         rows = [
-            (b, _pack(doc[i]), _pack(run[i]), np.ascontiguousarray((anchor[i] >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes())
+            (b, _pack_ids(doc[i]), _pack(run[i]), (anchor[i] >> np.uint64(32)).astype(np.uint32).tobytes())
             for b, i in _by_bucket((anchor % np.uint64(buckets)).astype(np.int32))
         ]
         return pd.DataFrame(rows, columns=["bucket", "docs", "runs", "anchors"])
@@ -266,12 +278,9 @@ def _shared_runs(hot: int):
     """Rows ``doc_id, run`` of the anchors met in two documents at least; -1 - run where more than ``hot`` runs have it."""
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
-        doc = np.concatenate([_unpack(x) for x in group["docs"]])
+        doc = np.concatenate([_unpack_ids(x) for x in group["docs"]])
         run = np.concatenate([_unpack(x) for x in group["runs"]])
-        raw = np.frombuffer(b"".join(group["anchors"]), np.uint8).reshape(-1, 5)
-        anchor = np.zeros((len(raw), 8), np.uint8)
-        anchor[:, :5] = raw
-        anchor = anchor.view(np.uint64).ravel()
+        anchor = np.frombuffer(b"".join(group["anchors"]), np.uint32)
         order = np.argsort(anchor)
         ranked = anchor[order]
         cut = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
@@ -279,7 +288,9 @@ def _shared_runs(hot: int):
         low, high = np.minimum.reduceat(doc[order], cut), np.maximum.reduceat(doc[order], cut)
         kept = np.repeat(low < high, many)
         run = np.where(np.repeat(many > hot, many), -1 - run[order], run[order])
-        return pd.DataFrame({"doc_id": doc[order][kept], "run": run[kept].astype(np.int32)})
+        doc, run = doc[order][kept], run[kept]
+        turn = np.lexsort((run, doc))
+        return pd.DataFrame({"doc_id": doc[turn], "run": run[turn].astype(np.int32)})
 
     return pick
 
@@ -316,7 +327,7 @@ def _send_pieces(length: int, buckets: int, lot: int = 12 << 20):
         data = np.concatenate([x[5] for x in found])
         begin = np.cumsum(size) - size
         rows = [
-            (b, _pack(ids[i]), _pack(tags[i]), _pack(place[i]), _pack(size[i]), _squeeze(data[_spread(begin[i], size[i])].tobytes()))
+            (b, _pack_ids(ids[i]), _pack(tags[i]), _pack(place[i]), _pack(size[i]), _squeeze(data[_spread(begin[i], size[i])].tobytes()))
             for b, i in _by_bucket(((anchor >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32))
         ]
         return pd.DataFrame(rows, columns=["bucket", "docs", "tags", "places", "sizes", "data"])
@@ -369,7 +380,8 @@ def _search_bucket(length: int, shard: int):
     """Byte ranges ``doc_id, tag, start, end`` of a bucket's pieces that a smaller document has too."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        doc, tag, place, size = (np.concatenate([_unpack(x) for x in group[c]]) for c in ("docs", "tags", "places", "sizes"))
+        doc = np.concatenate([_unpack_ids(x) for x in group["docs"]])
+        tag, place, size = (np.concatenate([_unpack(x) for x in group[c]]) for c in ("tags", "places", "sizes"))
         decompress = zstandard.ZstdDecompressor().decompress
         data = np.frombuffer(b"".join(decompress(x) for x in group["data"]), np.uint8)
         begin = np.cumsum(size) - size
@@ -385,6 +397,8 @@ def _search_bucket(length: int, shard: int):
         window_base = np.cumsum(windows[one]) - windows[one]
         flags = least[_spread(window_base[back], windows)] < np.repeat(doc, windows)
         who, a, b = _ranges(flags, np.repeat(np.arange(len(size)), windows), _spread(place, windows), length)
+        turn = np.lexsort((a, doc[who]))
+        who, a, b = who[turn], a[turn], b[turn]
         return pd.DataFrame({"doc_id": doc[who], "tag": tag[who], "start": a, "end": b})
 
     return run
@@ -402,7 +416,9 @@ def repeated_ranges(docs: DataFrame, length: int, hot: int, shard: int) -> DataF
         _list_anchors(length, buckets), "bucket int, docs binary, runs binary, anchors binary"
     )
     shared = listed.groupBy("bucket").applyInPandas(_shared_runs(hot), "doc_id long, run int")
-    runs = saved(shared.groupBy("doc_id").agg(F.collect_list("run").alias("runs"), F.min("run").alias("least")))
+    # dealt by id first: partial lists of a few numbers would be larger than the numbers
+    dealt = shared.repartition(parts(spark), "doc_id")
+    runs = saved(dealt.groupBy("doc_id").agg(F.collect_list("run").alias("runs"), F.min("run").alias("least")))
     wanted = rows.join(runs.hint("shuffle_hash"), "doc_id")
     sent = wanted.mapInPandas(
         _send_pieces(length, buckets), "bucket int, docs binary, tags binary, places binary, sizes binary, data binary"
@@ -417,6 +433,19 @@ def repeated_ranges(docs: DataFrame, length: int, hot: int, shard: int) -> DataF
     return ranges.union(later.select("doc_id", "tag", "start", (F.col("start") + length).alias("end")))
 
 
+def _marks(keys: DataFrame) -> DataFrame:
+    """``doc_id, many, copies`` of the ids that need care: those of several rows, and copies of a smaller document.
+
+    ``copies`` are the digests of its rows whose whole text a smaller document has too.
+    Such a text goes as a whole, and its strings are all in the smaller document, so it
+    takes no part in the search. A text that is everywhere is one row of the grouping.
+    """
+    first = keys.groupBy("same").agg(F.min("doc_id").alias("first"))
+    found = keys.join(first, "same").select("doc_id", F.when(F.col("first") < F.col("doc_id"), F.col("same")).alias("copy"))
+    marks = found.groupBy("doc_id").agg(F.count("*").alias("many"), F.collect_set("copy").alias("copies"))
+    return marks.filter((F.col("many") > 1) | (F.size("copies") > 0))
+
+
 def substring_dedup(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 50, hot: int = 20_000, shard: int = 4 << 20
 ) -> DataFrame:
@@ -433,20 +462,30 @@ def substring_dedup(
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.crc32(text.cast("binary")).alias("tag"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("same"))
     name = f"dedup_{uuid.uuid4().hex}"
     place = f"{shared_dir(spark)}/{name}"
     docs.write.option("compression", "zstd").option("path", place).bucketBy(parts(spark), "doc_id").saveAsTable(name)
-    docs = spark.table(name)
-    ranges = repeated_ranges(docs, length, hot, shard)
+    marks = saved(_marks(spark.table(name).select("doc_id", "same").filter("doc_id IS NOT NULL")))
+    docs = spark.table(name).join(marks.hint("shuffle_hash"), "doc_id", "left").select(
+        "doc_id",
+        "text",
+        F.coalesce(F.array_contains("copies", F.col("same")), F.lit(False)).alias("copy"),
+        F.when(F.col("many") > 1, F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("tag"),
+    )
+    ranges = repeated_ranges(docs.filter("NOT copy").drop("copy"), length, hot, shard).repartition(parts(spark), "doc_id")
     lists = ranges.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("start", "end")), F.collect_list("tag").alias("tags"))
     both = docs.join(lists.hint("shuffle_hash"), "doc_id", "left")
 
     def cut(batches):
         for batch in batches:
             out = []
-            for doc, t, tag, tags, start, end in zip(*(batch[c] for c in ("doc_id", "text", "tag", "tags", "start", "end"))):
+            columns = (batch[c] for c in ("doc_id", "text", "copy", "tag", "tags", "start", "end"))
+            for doc, t, copy, tag, tags, start, end in zip(*columns):
                 data = t.encode("utf-8", "surrogatepass")
+                if copy and len(data) >= length:
+                    out.append((doc, b"", len(data), len(data), 1))
+                    continue
                 if tags is None:
                     out.append((doc, data, len(data), 0, 0))
                     continue
