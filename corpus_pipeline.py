@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from relinker.llm.common import saved, table
 from relinker.llm.decontaminate import drop_contaminated
 from relinker.llm.packing import pack_documents
-from relinker.llm.quality import quality_scores
+from relinker.llm.quality import drop_low_quality
 from relinker.llm.secrets import redact
 from relinker.llm.simhash import drop_near_duplicates
 
@@ -24,9 +24,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose text the classifier rejects (a probability of label 1 under 0.3)."""
-    scores = quality_scores(docs, table(spark, sf_dir, "labels"))
-    rejected = scores.filter("predicted = 0").select(F.col("doc_id").alias("rejected")).distinct()
-    return docs.join(rejected, F.col("doc_id") == F.col("rejected"), "left_anti")
+    return drop_low_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

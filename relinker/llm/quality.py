@@ -190,6 +190,29 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60, seed:
     return net
 
 
+def _trained(docs: DataFrame, labels: DataFrame, label_id: str, label_col: str, folds: int, held_fold: int, max_samples: int):
+    """The word vectors (broadcast), ``doc_id, held_out, vector`` of ``docs(doc_id, text)``, saved, and the network."""
+    shared = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))  # bounded: ROWS * DIMS
+
+    @F.pandas_udf("binary")
+    def vector(texts: pd.Series) -> pd.Series:
+        return pd.Series([pooled(t, shared.value).astype(np.float16).tobytes() for t in texts], dtype=object)
+
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_fold, F.lit(False))
+    rows = saved(docs.select("doc_id", held.alias("held_out"), vector("text").alias("vector")))
+    marks = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).alias("label")).filter("label IN (0, 1)")
+    pool = rows.filter("NOT held_out").join(marks, "doc_id")
+    share = max_samples / max(1, pool.count())
+    drawn = pool.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6 < share).select("vector", "label").collect()
+    drawn = sorted((bytes(r.vector), r.label) for r in drawn)
+    net = fit(_matrix(v for v, _ in drawn), np.array([y for _, y in drawn], np.float64))
+    return shared, rows, net
+
+
+def _matrix(vectors) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), np.float16).reshape(-1, WIDE).astype(np.float64)
+
+
 def quality_scores(
     df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, label_col: str = "quality",
     label_id: str = "doc_id", folds: int = 5, held_fold: int = 0, threshold: float = 0.3, max_samples: int = 12_000,
@@ -203,27 +226,33 @@ def quality_scores(
     null labels and those other than 0 and 1 teach nothing; repeated rows count each.
     """
     docs = documents(df, id_col, text_col)
-    shared = df.sparkSession.sparkContext.broadcast(word_vectors(docs))  # bounded: ROWS * DIMS
-
-    @F.pandas_udf("binary")
-    def vector(texts: pd.Series) -> pd.Series:
-        return pd.Series([pooled(t, shared.value).astype(np.float16).tobytes() for t in texts], dtype=object)
-
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_fold, F.lit(False))
-    rows = saved(docs.select("doc_id", held.alias("held_out"), vector("text").alias("vector")))
-    marks = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).alias("label")).filter("label IN (0, 1)")
-    pool = rows.filter("NOT held_out").join(marks, "doc_id")
-    share = max_samples / max(1, pool.count())
-    drawn = pool.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6 < share).select("vector", "label").collect()
-    drawn = sorted((bytes(r.vector), r.label) for r in drawn)
-    x = np.frombuffer(b"".join(v for v, _ in drawn), np.float16).reshape(-1, WIDE).astype(np.float64)
-    net = fit(x, np.array([y for _, y in drawn], np.float64))
+    _, rows, net = _trained(docs, labels, label_id, label_col, folds, held_fold, max_samples)
 
     @F.pandas_udf("double")
     def score(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype=float)
-        return pd.Series(net.probability(np.frombuffer(b"".join(vectors), np.float16).reshape(-1, WIDE).astype(np.float64)))
+        return pd.Series(net.probability(_matrix(vectors)))
 
     scored = rows.select("doc_id", "held_out", score("vector").alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def drop_low_quality(
+    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, label_col: str = "quality",
+    label_id: str = "doc_id", folds: int = 5, held_fold: int = 0, threshold: float = 0.3, max_samples: int = 12_000,
+) -> DataFrame:
+    """``df``, all its columns, without the rows whose text scores under ``threshold``.
+
+    The model is that of ``quality_scores``; each text is scored where it lies, so no
+    text is shuffled and null ids are judged like any other. A null text is empty.
+    """
+    shared, _, net = _trained(documents(df, id_col, text_col), labels, label_id, label_col, folds, held_fold, max_samples)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        if not len(texts):
+            return pd.Series([], dtype=bool)
+        return pd.Series(net.probability(_matrix(pooled(t or "", shared.value).astype(np.float16).tobytes() for t in texts)) >= threshold)
+
+    return df.filter(good(F.col(text_col)))
