@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections import defaultdict
+from collections.abc import Sequence
 from heapq import heappop, heappush
 
 import numpy as np
@@ -27,14 +28,18 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: tokens, and letters whose lower case depends on their neighbours.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _ODD_LETTERS = ("Σ", "İ", "\u0345")
-_CACHE = 600_000
+#: Words in each of the two generations that a worker holds.
+_CACHE = 400_000
+#: Signs that the tokenizer's split always sets apart from the letters before them.
+_STOPS = frozenset(".,;:!?")
 
 
 class WordTokens:
     """Token ids of whole texts, word by word.
 
     The tokenizer drops white space and never joins across it, so a text's ids are
-    its words' ids one after the other; words met before come from a bounded cache.
+    its words' ids one after the other; words met before come from a bounded cache
+    of two generations: what was met since the last turn outlives the next.
     """
 
     _open: dict[str, WordTokens] = {}
@@ -53,6 +58,7 @@ class WordTokens:
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.units: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordTokens:
@@ -78,6 +84,14 @@ class WordTokens:
                 self.units[unit] = data[at:cut]
                 at = cut
 
+    def _units(self, word: str) -> Sequence[str]:
+        """The parts of a word that are encoded on their own; most words need no pattern."""
+        if word.isalpha():
+            return (word,)
+        if word[-1] in _STOPS and word[:-1].isalpha():
+            return word[:-1], word[-1]
+        return self.split(word)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         import unicodedata
@@ -88,23 +102,23 @@ class WordTokens:
             for t in texts
         ]
         split = [t.lower().split() if p else [] for p, t in zip(plain, texts)]
-        fresh: set[str] = set()
-        for words in split:
-            fresh.update(words)
-        known = self.words
-        if len(known) + len(fresh) > _CACHE:
-            known.clear()
-            self.units.clear()
-        new = [w for w in fresh if w not in known]
-        cut = [self.split(w) for w in new]
-        units: set[str] = set()
-        for u in cut:
-            units.update(u)
-        self._learn([u for u in units if u not in self.units])
+        if len(self.words) > _CACHE:
+            self.older, self.words, self.units = self.words, {}, {}
+        known, older = self.words, self.older
+        here: dict[str, bytes] = {}  # small, so that the texts' words are looked up in a processor's cache
+        new: list[str] = []
+        for w in set().union(*split):
+            ids = known.get(w) or older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                known[w] = here[w] = ids
+        cut = [self._units(w) for w in new]
+        self._learn([u for u in set().union(*cut) if u not in self.units])
         unit = self.units.__getitem__
-        for word, u in zip(new, cut):
-            known[word] = b"".join(map(unit, u))
-        word = known.__getitem__
+        for w, u in zip(new, cut):
+            known[w] = here[w] = unit(u[0]) if len(u) == 1 else b"".join(map(unit, u))
+        word = here.__getitem__
         return [b"".join(map(word, w)) if p else self._whole(t) for p, w, t in zip(plain, split, texts)]
 
 
