@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from relinker.functions.address import address_of, check_prefix, host_of, is_under, join_address, move_prefix
 
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
 
 def split_address(df: DataFrame, url_col: str = "url") -> DataFrame:
     """Add ``address: struct<origin, path, search, hash>`` of the column ``url_col``."""
@@ -21,13 +23,15 @@ def redirect(df: DataFrame, url_col: str, old: str, new: str, host: str | None =
     With ``host``, only URLs of that host (no user info, no port, ASCII case-blind)
     are touched; the others are ``kept`` as they are. One narrow projection: no
     shuffle and no state, so a streaming DataFrame works as well as a batch.
-    Columns named ``new_url`` or ``status`` in the input are replaced.
+    Columns named ``new_url`` or ``status`` in the input are replaced. ``old`` and
+    ``new`` are whole segments, as ``check_prefix`` has it.
     """
     check_prefix(old)
-    if not new.startswith("/") or re.match(re.escape(old) + r"(?=/|\Z)", new, re.IGNORECASE | re.ASCII):
-        raise ValueError(f"new must start with '/' and not lie under old, or a second run would move it again: {new!r}")
+    check_prefix(new)
+    if re.match(re.escape(old) + r"(?=/|\Z)", new, re.IGNORECASE | re.ASCII):
+        raise ValueError(f"new must not lie under old, or a second run would move it again: {new!r}")
     url, address = F.col(url_col), address_of(F.col(url_col))
-    ours = F.lit(True) if host is None else host_of(address["origin"]) == host.lower()
+    ours = F.lit(True) if host is None else host_of(address["origin"]) == host.translate(_LOWER)
     moved = address.withField("path", move_prefix(address["path"], old, new))
     return df.withColumns(
         {

@@ -68,16 +68,36 @@ def test_host_scope(spark):
     urls = ["https://u@H.Example:81/old", "https://x.h.example/old?", "nope"]
     want = [("https://u@H.Example:81/new", "moved"), ("https://x.h.example/old?", "kept"), ("nope", "unparsed")]
     assert run(spark, urls, "/old", "/new", host="h.example") == want
+    assert run(spark, urls[:1], "/old", "/new", host="H.EXAMPLE") == want[:1]
+    kelvin = "https://\u212aite.example/old"
+    assert run(spark, [kelvin], "/old", "/new", host="kite.example") == [(kelvin, "kept")]
+    assert run(spark, [kelvin], "/old", "/new", host="\u212aITE.example") == [("https://\u212aite.example/new", "moved")]
 
 
 @pytest.mark.parametrize(
-    ("old", "new"), [("", "/n"), ("old", "/n"), ("/old/", "/n"), (r"/a\Eb", "/n"), ("/a", "/A/b"), ("/a", "n")]
+    ("old", "new"),
+    [
+        ("", "/n"), ("old", "/n"), ("/old/", "/n"), (r"/a\Eb", "/n"), ("/a", "/A/b"), ("/a", "n"),
+        ("/a", ""), ("/a", "/"), ("/a", "/n/"), ("/a", "/b?x"), ("/a", "/b#x"),
+    ],
 )
 def test_rejected_arguments(spark, old, new):
     with pytest.raises(ValueError):
         run(spark, ["https://h/"], old, new)
 
 
+def test_edges_against_sql(spark, same_as_sql, tmp_path):
+    """The edge table, moved to the queries' prefixes, under the same SQL as the driver's table."""
+    urls = [u and u.replace("old-app", "en").replace("OLD-APP", "EN") for u, _, _ in EDGES if u is None or "\n" not in u]
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/tables/pages.parquet")
+    (part,) = (tmp_path / "tables/pages.parquet").glob("part-*.parquet")
+    (tmp_path / "sql").mkdir()
+    shutil.copy(part, tmp_path / "sql/pages.parquet")
+    for name, query in links.QUERIES.items():
+        same_as_sql(query(spark, str(tmp_path / "tables")), links.ORACLE[name], str(tmp_path / "sql"))
+
+
 @pytest.mark.parametrize("name", list(links.QUERIES))
 def test_oracle(spark, same_as_sql, name):
     same_as_sql(links.QUERIES[name](spark, SF), links.ORACLE[name], SF)
