@@ -67,3 +67,26 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.collect() == []
+
+
+def test_odd_documents(spark):
+    """Nulls in every column, repeated rows, one id with two texts, a very long text, and further columns."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    good = max((r.text for r in docs.collect() if r.text and len(r.text) < 4000), key=len)
+    rows = [
+        (None, None, None, None, None), (10**6, None, "en", "s", 0), (10**6 + 1, "", "en", "s", 0), (None, good + " null id", "en", "s", 9),
+        (10**6 + 2, good + " twice", "en", "s", 9), (10**6 + 2, good + " twice", "en", "s", 9),
+        (10**6 + 3, " ".join(f"word{i} of text" for i in range(60)), "en", "s", 1), (10**6 + 3, " ".join(f"other{i} has words" for i in range(60)), "en", "s", 1),
+        (10**6 + 4, " ".join(f"{w}{i}" for i in range(400) for w in good.split()[:200]), "en", "s", 1),
+    ]
+    odd = docs.union(spark.createDataFrame(rows, docs.schema))
+    more = odd.selectExpr("*", "1 AS node", "'x' AS tag", "2 AS piece", "3 AS length", "'k' AS base", "0 AS runs", "1 AS label", "'y' AS vector")
+    step = more
+    for name, stage in corpus_pipeline.STAGES:
+        before = step.count()
+        step = stage(spark, step, SF).cache()
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert step.columns == more.columns and step.count() <= before
+    check_bins(step.collect(), 2048)
+    kept = corpus_pipeline.STAGES[1][1](spark, odd.filter("doc_id >= 1000000 OR doc_id IS NULL"), SF).collect()
+    assert sum(r.doc_id is None for r in kept) == 2 and sum(r.doc_id == 10**6 + 3 for r in kept) == 2
