@@ -1,95 +1,141 @@
-"""Substring dedup by hashing lines or paragraphs, or the sentences of lines.
-
-A long unit is cut further, after words that their own hash picks, so that a passage
-in the middle of a line is cut as it is elsewhere.
+"""Substring dedup by hashing lines and paragraphs, and passages inside them.
 
 Units are normalised and hashed; the earliest occurrence of each digest over all
 documents stays and the others are marked for removal, with their place in the
-original text.
+original text. Lines and paragraphs are taken whole, however short. A passage that is
+put into the middle of other text is no line there, so windows of words are hashed
+too: of each ``AMONG`` neighbouring windows the one with the least hash (winnowing),
+which picks the same windows wherever the passage stands.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relinker.llm.common import documents, saved
-
-_WORD = re.compile(r"\S+")
-_ENDS = {
-    "paragraph": re.compile(r"\n[ \t\r]*\n\s*"),
-    "line": re.compile(r"\n"),
-    "sentence": re.compile(r"\n|(?<=[.!?])[ \t]+"),
-}
-
-
-LONG, EVERY = 24, 12
-
-
-def _short_units(text: str, unit: str, min_words: int) -> Iterator[tuple[int, int, list[str]]]:
-    """Start, end and words of each unit, those of over ``LONG`` words in parts of ``min_words`` at least."""
-    at = 0
-    for m in [*_ENDS[unit].finditer(text), None]:
-        end = m.start() if m else len(text)
-        words = text[at:end].lower().split()
-        if len(words) <= LONG:
-            if words:
-                yield at, end, words
-        else:
-            part: list[str] = []
-            for w in _WORD.finditer(text, at, end):
-                word = w[0].lower()
-                if not part:
-                    start = w.start()
-                part.append(word)
-                if len(part) >= min_words and zlib.crc32(word.encode("utf-8", "surrogatepass")) % EVERY == 0:
-                    yield start, w.end(), part
-                    part = []
-            if part:
-                yield start, end, part
-        at = m.end() if m else end
-
-
-def units(text: str, unit: str, min_words: int) -> list[tuple[int, int, bytes]]:
-    """``start, end, normal form`` of each unit that is judged.
-
-    Normal: lower case, white space as single spaces. A unit of at least ``min_words``
-    words stands for itself. Shorter ones in a row are judged together, if they come to
-    that many words: so a passage is cut alike wherever it is put.
+from relinker.llm.common import documents, saved, scratch
+
+KINDS = ("line", "paragraph", "passage")
+#: Words of a passage window, and windows of which one is taken: any repeat of WINDOW + AMONG - 1 words is met.
+WINDOW, AMONG = 16, 24
+#: Bytes of the texts that are cut at once; a longer text is cut alone.
+_LOT = 1 << 20
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _Powers:
+    """Powers of an odd base modulo 2^64 and of its inverse, as many as asked for."""
+
+    def __init__(self, base: np.uint64):
+        self.base, self.inverse = base, np.uint64(pow(int(base), -1, 2**64))
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            m = max(n, 1 << 17)
+            self.up, self.down = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(m, b)))) for b in (self.base, self.inverse))
+        return self.up, self.down
+
+
+_POWERS = tuple(_Powers(b) for b in _BASES)
+
+
+def _range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    """A hash of each range of ``values``, the same wherever the range stands."""
+    up, down = _POWERS[which].of(len(values) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])))
+    return _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def _least_windows(hashes: np.ndarray, fits: np.ndarray) -> np.ndarray:
+    """Places of the last least hash of each ``AMONG`` windows in a row that lie in one text.
+
+    ``fits``: whether the windows from here to the last of the row do so.
     """
-    out: list[tuple[int, int, bytes]] = []
-    run: list[tuple[int, int, list[str]]] = []
+    if len(hashes) < AMONG:
+        return np.empty(0, np.int64)
+    back = np.lib.stride_tricks.sliding_window_view(hashes, AMONG)[:, ::-1]
+    whole = np.flatnonzero(fits[: len(back)])
+    return np.unique(np.concatenate([i + AMONG - 1 - back[i].argmin(axis=1) for i in np.array_split(whole, len(whole) // 65536 + 1)]))
+
 
-    def close() -> None:
-        words = [w for _, _, some in run for w in some]
-        if len(words) >= min_words:
-            out.append((run[0][0], run[-1][1], " ".join(words).encode("utf-8", "surrogatepass")))
-        run.clear()
+def units(texts: list[str], kinds: tuple[str, ...] = KINDS) -> dict[str, np.ndarray]:
+    """Units of texts: ``doc`` (place in the list), ``kind`` (in KINDS), ``start``, ``end`` (code points), ``h1``, ``h2``.
 
-    for start, end, words in _short_units(text, unit, min_words):
-        if len(words) >= min_words:
-            close()
-            out.append((start, end, " ".join(words).encode("utf-8", "surrogatepass")))
-        else:
-            run.append((start, end, words))
-    close()
-    return out
+    Normal form: the words between white space (bytes 0x20 and 0x09 to 0x0D), A-Z
+    lower-cased. A line ends at a newline, a paragraph at lines without a word; a
+    paragraph of one line is that line only. Units without a word are none.
+    """
+    data = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+    b = np.frombuffer(b"\n".join([*data, b""]), np.uint8)
+    doc_starts = np.cumsum([0, *(len(d) + 1 for d in data)])
+    white = (b == 32) | ((b >= 9) & (b <= 13))
+    edge = np.flatnonzero(np.diff(white.astype(np.int8), prepend=1))
+    begin, stop = edge[0::2], edge[1::2]
+    if not len(begin):
+        none = np.empty(0, np.int64)
+        return {"doc": none, "kind": none, "start": none, "end": none, "h1": none, "h2": none}
+    wide = b.astype(np.uint64) + np.uint64(1)
+    words = [_range_hashes(wide, begin, stop, i) for i in range(2)]
+    newline = np.flatnonzero(b == 10)
+    line = np.searchsorted(newline, begin)
+    doc = np.searchsorted(doc_starts, begin, side="right") - 1
+    found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # kind, first and last word, first and last byte
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    last = np.concatenate((first[1:], [len(line)]))
+    line_start, line_end = np.concatenate(([0], newline + 1))[line[first]], newline[line[first]]
+    if "line" in kinds:
+        found.append((0, first, last, line_start, line_end))
+    if "paragraph" in kinds:
+        head = np.flatnonzero((np.diff(line[first], prepend=-2) > 1) | (np.diff(doc[first], prepend=-1) > 0))
+        tail = np.concatenate((head[1:], [len(first)])) - 1
+        head, tail = head[tail > head], tail[tail > head]
+        found.append((1, first[head], last[tail], line_start[head], line_end[tail]))
+    if "passage" in kinds and len(begin) >= WINDOW:
+        at = np.arange(len(begin) - WINDOW + 1)
+        end = np.minimum(at + WINDOW + AMONG - 2, len(doc) - 1)
+        at = _least_windows(_range_hashes(words[0], at, at + WINDOW, 0), doc[at] == doc[end])
+        found.append((2, at, at + WINDOW, begin[at], stop[at + WINDOW - 1]))
+    kind = np.concatenate([np.full(len(f[1]), f[0]) for f in found])
+    a, z, start, end = (np.concatenate([f[i] for f in found]) for i in range(1, 5))
+    points = np.concatenate(([0], np.cumsum((b & 0xC0) != 0x80)))
+    base = points[doc_starts[doc[a]]]
+    salt = _mixed(kind.astype(np.uint64) + np.uint64(7))
+    h1, h2 = ((_range_hashes(words[i], a, z, i) ^ salt).view(np.int64) for i in range(2))
+    return {"doc": doc[a], "kind": kind, "start": points[start] - base, "end": points[end] - base, "h1": h1, "h2": h2}
+
+
+def _lots(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    a = held = 0
+    for i, n in enumerate(sizes):
+        if held and held + n > _LOT:
+            yield a, i
+            a, held = i, 0
+        held += n
+    if a < len(sizes):
+        yield a, len(sizes)
 
 
 def repeated_units(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, unit: str = "sentence", min_words: int = 8
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, kinds: tuple[str, ...] = KINDS
 ) -> DataFrame:
-    """A row for each unit that repeats an earlier one: ``doc_id, start, end, kept_doc_id, kept_start``.
+    """A row for each unit that repeats an earlier one: ``doc_id, tag, kind, start, end, kept_doc_id, kept_start``.
 
-    Places are code points of the original text, end exclusive. Units rank by
-    (doc_id, start); the first of each digest is kept, within a document too. Digests
+    Places are code points of the original text, end exclusive; ``kind`` is line,
+    paragraph or passage (of ``WINDOW`` words) and ``tag`` a hash of the text, which
+    tells texts under one id apart. Units rank by (doc_id, tag, start); the first of
+    each digest is kept, within a document too. Any repeat of WINDOW + AMONG - 1 words
+    is met by a passage; words at its ends, and some between passages, may stay. Digests
     are grouped over all documents, with partial sums before the shuffle, and a digest
     that is everywhere is one row of the group; its occurrences meet it in a join that
     Spark may split. Null and empty texts have no units. Rows with a null id have no
@@ -99,46 +145,41 @@ def repeated_units(
 
     def cut(batches):
         for batch in batches:
-            rows = [
-                (d, a, b, xxhash.xxh3_128_digest(body))
-                for d, t in zip(batch["doc_id"].tolist(), batch["text"].tolist())
-                for a, b, body in units(t, unit, min_words)
-            ]
-            ids, starts, ends, digests = zip(*rows) if rows else ((), (), (), ())
-            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pd.DataFrame(
-                {
-                    "doc_id": np.array(ids, np.int64),
-                    "start": np.array(starts, np.int32),
-                    "end": np.array(ends, np.int32),
-                    "h1": halves[:, 0],
-                    "h2": halves[:, 1],
-                }
-            )
-
-    docs = documents(df, id_col, text_col).filter("doc_id IS NOT NULL")
-    found = saved(docs.mapInPandas(cut, "doc_id long, start int, end int, h1 long, h2 long"))
-    firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
-    firsts = saved(firsts.filter("n > 1").select("h1", "h2", "first"))
-    at_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
-    return found.join(firsts, ["h1", "h2"]).filter(~at_first).select(
-        "doc_id", "start", "end", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start")
-    )
+            texts = batch["text"].tolist()
+            ids, tags = batch["doc_id"].to_numpy(np.int64), batch["tag"].to_numpy(np.int32)
+            for a, z in _lots([len(t) for t in texts]):
+                with np.errstate(over="ignore"):
+                    u = units(texts[a:z], kinds)
+                row = u.pop("doc") + a
+                yield pd.DataFrame({"doc_id": ids[row], "tag": tags[row], **u})
+
+    with scratch(df.sparkSession) as keep:
+        docs = documents(df, id_col, text_col).filter("doc_id IS NOT NULL").withColumn("tag", F.hash("text"))
+        found = saved(docs.mapInPandas(cut, "doc_id long, tag int, kind byte, start int, end int, h1 long, h2 long"))
+        firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tag", "start")).alias("first"), F.count("*").alias("n"))
+        firsts = saved(firsts.filter("n > 1").select("h1", "h2", "first"))
+        at_first = F.struct("doc_id", "tag", "start") == F.col("first")
+        later = found.join(firsts, ["h1", "h2"]).filter(~at_first)
+        name = F.array(*(F.lit(k) for k in KINDS))[F.col("kind")].alias("kind")
+        kept = (F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
+        return keep(later.select("doc_id", "tag", name, "start", "end", *kept))
 
 
 def remove_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``df``, all its columns, with the repeated units cut out of ``text_col``.
 
-    A null text or id stays as it is.
+    Each text is cut by its own spans, also where an id has several; spans may
+    overlap. A null text or id stays as it is.
     """
-    spans = repeated_units(df, id_col, text_col, **kw).groupBy(F.col("doc_id").alias("__id")).agg(
+    spans = repeated_units(df, id_col, text_col, **kw).groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans")
     )
-    both = df.join(spans, F.col(id_col) == F.col("__id"), "left")
     text = F.col(text_col)
+    both = df.join(spans, (F.col(id_col) == F.col("__id")) & (F.hash(text) == F.col("__tag")), "left")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, s: F.struct(
-        s["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"])).alias("out")
+        F.greatest(acc["at"], s["end"]).alias("at"),
+        F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))).alias("out"),
     )
     left = F.aggregate("__spans", zero, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
     return both.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(left)).select(*df.columns)

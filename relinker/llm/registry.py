@@ -54,7 +54,11 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.repeated_units(table(spark, sf_dir, "documents"))
+    return lines.repeated_units(table(spark, sf_dir, "documents")).drop("tag")
+
+
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_units(table(spark, sf_dir, "documents"), kinds=("line",)).drop("tag", "kind")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +76,23 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_lines": op9_lines,
     "op10_decontamination": op10_decontamination,
+    "repeated_lines": repeated_lines,
+}
+#: What the others decide by (a tokenizer, trained models, XXH64, suffix arrays, media) is no SQL.
+ORACLE = {
+    "repeated_lines": r"""WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE doc_id IS NOT NULL),
+each AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM texts),
+placed AS (
+  SELECT doc_id, line, CAST(SUM(length(line) + 1) OVER (PARTITION BY r ORDER BY i) - length(line) - 1 AS INTEGER) AS start
+  FROM each),
+units AS (
+  SELECT doc_id, start, CAST(start + length(line) AS INTEGER) AS "end",
+         trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[	-
+ ]+', ' ', 'g')) AS unit
+  FROM placed),
+ranked AS (
+  SELECT *, first(doc_id) OVER w AS kept_doc_id, first(start) OVER w AS kept_start
+  FROM units WHERE unit <> '' WINDOW w AS (PARTITION BY unit ORDER BY doc_id, start))
+SELECT doc_id, start, "end", kept_doc_id, kept_start FROM ranked WHERE doc_id <> kept_doc_id OR start <> kept_start""",
 }
-ORACLE: dict[str, str] = {}
