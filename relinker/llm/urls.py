@@ -18,10 +18,9 @@ from relinker.llm.common import saved
 
 #: Fixed values: (host, path prefix, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: A name with one of these words is taken for a blocked sample in training.
-SEEDS = ("ads", "casino", "cheap", "farm", "pills", "porn", "spam", "track")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LONGEST = 20
+#: Letters of a key under which names meet words; longer words meet by their first letters.
+KEY = 20
 
 
 def host_of(url: Column) -> Column:
@@ -44,13 +43,16 @@ def _longest_rule(host: Column, path: Column, rules) -> Column:
 
 def viterbi(name: str, words: dict[str, int], total: int) -> list[str]:
     """Most likely split of ``name``; a part that is no known word costs ten-fold for each letter."""
+    longest = max(map(len, words), default=0)
+    rare = 1 - log10(total)
     best: list[tuple[float, int]] = [(0.0, 0)]
+    strange = (-float("inf"), 0)  # the best split that ends within a part that is no word
     for end in range(1, len(name) + 1):
-        options = []
-        for start in range(max(0, end - LONGEST), end):
-            part = name[start:end]
-            score = log10(words[part] / total) if part in words else 1 - log10(total) - len(part)
-            options.append((best[start][0] + score, start))
+        strange = max((strange[0] - 1, strange[1]), (best[end - 1][0] + rare - 1, end - 1))
+        options = [strange]
+        for start in range(max(0, end - longest), end):
+            if (n := words.get(name[start:end])) is not None:
+                options.append((best[start][0] + log10(n / total), start))
         best.append(max(options))
     out, end = [], len(name)
     while end:
@@ -60,9 +62,9 @@ def viterbi(name: str, words: dict[str, int], total: int) -> list[str]:
 
 
 def word_counts(texts: DataFrame, column: str) -> DataFrame:
-    """``word, n``: words of 2 to ``LONGEST`` letters a-z in all rows of a text column, mark-up dropped."""
+    """``word, n``: whole words of at least 2 letters, all a-z, in all rows of a text column, mark-up dropped."""
     plain = F.lower(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), "<[^>]*>", " "))
-    words = F.regexp_extract_all(plain, F.lit(f"(?<![a-z])[a-z]{{2,{LONGEST}}}(?![a-z])"), F.lit(0))
+    words = F.regexp_extract_all(plain, F.lit(r"(?<![\p{L}\p{M}])[a-z]{2,}(?![\p{L}\p{M}])"), F.lit(0))
     return texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -74,12 +76,14 @@ def segment(names: DataFrame, counts: DataFrame) -> DataFrame:
         F.transform(
             starts,
             lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("name") - i + 1)), lambda n: F.substr(F.col("name"), i, n)
+                F.sequence(F.lit(1), F.least(F.lit(KEY), F.length("name") - i + 1)), lambda n: F.substr(F.col("name"), i, n)
             ),
         )
     )
     names = names.filter("name <> ''").distinct()
-    met = names.select("name", F.explode(F.array_distinct(subs)).alias("word")).join(counts, "word")
+    keyed = counts.withColumn("key", F.substring("word", 1, KEY))
+    met = names.select("name", F.explode(F.array_distinct(subs)).alias("key")).join(keyed, "key")
+    met = met.filter((F.length("word") <= KEY) | F.contains("name", "word"))
     known = met.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("known"))
 
     @F.pandas_udf("array<string>")
@@ -94,33 +98,34 @@ def _names(text: Column) -> Column:
 
 
 def filter_urls(
-    df: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", rules=RULES, seeds=SEEDS
+    df: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", rules=RULES, learn: Column | None = None
 ) -> DataFrame:
-    """One row for each row of ``df``: id, host, path, rule (or null), verdict, score (log odds of block; null if ruled).
-
-    Training rows are the URLs that a rule decides and those whose names hold a seed
-    word (block). A null URL, or one without ``://``, has an empty host and path and
-    gets the prior's verdict: block only where blocked training rows are more.
-    Repeated rows and null ids stay rows of their own; other columns are not carried.
+    """One row for each row of ``df``: id, host, path, rule (or null), verdict, score (log odds of block).
+
+    The rules decide the URLs that they fit and label them for training, where ``learn``
+    is true (by default everywhere); the model decides the others. Tokens are the words
+    of the host's and the path's names, and the host's last label. A null URL, or one
+    without ``://``, has an empty host and path and gets the prior's verdict: block only
+    where blocked training rows are more. Repeated rows and null ids stay rows of their
+    own; other columns are not carried; an empty table gives no rows.
     """
     url = F.col(url_col)
-    rows = df.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
+    taught = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    rows = df.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), taught.alias("taught"))
     rows = rows.withColumn("hit", _longest_rule(F.col("host"), F.col("path"), rules))
-    urls = saved(rows.groupBy("host", "path").agg(F.first("hit").alias("hit"), F.count("*").alias("many")))
-    # the last label of a host says nothing of its owner
+    urls = rows.groupBy("host", "path").agg(F.first("hit").alias("hit"), F.count_if("taught").alias("many"))
+    urls = saved(urls.withColumn("label", F.when(F.col("many") > 0, F.col("hit.verdict"))))
+    top = F.regexp_extract("host", r"\.[^.]*\z", 0)  # with its dot, so it is no word
     host = F.regexp_replace("host", r"\.[^.]*\z", "")
-    named = urls.select("host", "path", "hit", "many", F.explode(F.concat(_names(host), _names(F.col("path")))).alias("name"))
+    named = urls.select("host", "path", F.explode(F.concat(_names(host), _names(F.col("path")))).alias("name"))
     split = saved(segment(named.select("name"), saved(word_counts(df, text_col))))
-    tokens = named.join(split, "name").select("host", "path", "hit", "many", F.explode("words").alias("token"))
-    per_url = saved(tokens.groupBy("host", "path", "token").agg(F.count("*").alias("n"), F.first("hit").alias("hit"), F.first("many").alias("many")))
-    seeded = per_url.groupBy("host", "path").agg(F.max(F.col("token").isin(*seeds)).alias("seeded"))
-    labelled = urls.join(seeded, ["host", "path"], "left").select(
-        "host", "path", "many", F.coalesce(F.col("hit.verdict"), F.when(F.col("seeded"), "block")).alias("label")
-    )
-    labelled = saved(labelled.filter("label IS NOT NULL"))
+    words = named.join(split, "name").select("host", "path", F.explode("words").alias("token"))
+    tops = urls.select("host", "path", top.alias("token")).filter("token <> ''")
+    per_url = saved(words.union(tops).groupBy("host", "path", "token").agg(F.count("*").alias("n")))
+    labelled = urls.filter("label IS NOT NULL").select("host", "path", "many", "label")
     block = lambda c: F.sum(F.when(F.col("label") == "block", F.col(c)).otherwise(0))
     allow = lambda c: F.sum(F.when(F.col("label") == "allow", F.col(c)).otherwise(0))
-    seen = per_url.select("host", "path", "token", (F.col("n") * F.col("many")).alias("w")).join(labelled, ["host", "path"])
+    seen = per_url.join(labelled, ["host", "path"]).withColumn("w", F.col("n") * F.col("many"))
     token_counts = saved(seen.groupBy("token").agg(block("w").alias("b"), allow("w").alias("a")))
     sums = token_counts.agg(F.sum("b"), F.sum("a"), F.count("*")).first()
     rows_of = labelled.agg(block("many"), allow("many")).first()
@@ -130,7 +135,7 @@ def filter_urls(
     scored = per_url.join(token_counts.select("token", odds.alias("odds")), "token", "left")
     sums_of = scored.groupBy("host", "path").agg(F.sum(F.col("n") * F.coalesce("odds", F.lit(0.0))).alias("sum"))
     out = rows.join(sums_of, ["host", "path"], "left")
-    score = F.when(F.col("hit").isNull(), F.lit(prior) + F.coalesce("sum", F.lit(0.0)))
+    score = F.lit(prior) + F.coalesce("sum", F.lit(0.0))
     return out.select(
         id_col, "host", "path", F.col("hit.rule").alias("rule"),
         F.coalesce(F.col("hit.verdict"), F.when(score > 0, "block").otherwise("allow")).alias("verdict"),
