@@ -13,9 +13,9 @@ part of a repeat, and strings that share an anchor can be dealt to one place. Th
    merged by binary search in their sorted strings;
 3. each document takes back the byte ranges that a smaller document has too.
 
-Anchors in very many documents leave step 2: their strings are summed up by a plain
-grouping with partial sums, and each occurrence meets its string's row in a join that
-Spark may split.
+Anchors in very many runs leave step 2: tasks add them up before anything is shuffled,
+so no bucket gets all their runs; their strings are summed up by a plain grouping with
+partial sums, and each occurrence meets its string's row in a join that Spark may split.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relinker.llm.common import parts, saved, shared_dir
+from relinker.llm.common import parts, remove, saved, scratch, shared_dir
 
 _ODD = np.uint64(0xBF58476D1CE4E5B9)
 #: Bytes of an anchor: shorter ones meet by chance, longer ones are more.
@@ -243,15 +243,42 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 _LOT = 1 << 20
 
 
-def _list_anchors(length: int, buckets: int, lot: int = 24 << 20):
-    """Per bucket of anchors: documents, run numbers and 32 more bits of the anchors, in compressed planes."""
+def _summed(doc: np.ndarray, run: np.ndarray, anchor: np.ndarray, often: int) -> tuple[np.ndarray, ...]:
+    """Partial sums of a lot: ``doc, run, anchor`` of the rarer anchors' runs, and ``doc, run`` of the others'.
+
+    An anchor in over ``often`` runs of the lot, and two documents, is met by others for
+    certain: its runs need not go to its bucket, where only the least and greatest of
+    its documents stand for them (run -1).
+    """
+    order = np.argsort(anchor, kind="stable")
+    ranked = anchor[order]
+    cut = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    many = np.diff(np.concatenate((cut, [len(ranked)])))
+    low, high = np.minimum.reduceat(doc[order], cut), np.maximum.reduceat(doc[order], cut)
+    full = (many > often) & (low < high)
+    gone = np.zeros(len(doc), bool)
+    gone[order] = np.repeat(full, many)
+    ends = np.concatenate((low[full], high[full]))
+    return (
+        np.concatenate((doc[~gone], ends)), np.concatenate((run[~gone], np.full(len(ends), -1))),
+        np.concatenate((anchor[~gone], np.tile(ranked[cut][full], 2))), doc[gone], run[gone],
+    )
+
+
+def _list_anchors(length: int, buckets: int, often: int, lot: int = 24 << 20):
+    """Per bucket of anchors: documents, run numbers and 32 more bits of the anchors, in compressed planes.
+
+    What ``_summed`` keeps out of the buckets has a bucket under zero and no anchors.
+    """
 
     def emit(found):
-        doc, run, anchor = (np.concatenate(x) for x in zip(*found))
+        doc, run, anchor, sure_doc, sure_run = _summed(*(np.concatenate(x) for x in zip(*found)), often)
         rows = [
             (b, _pack_ids(doc[i]), _pack(run[i]), (anchor[i] >> np.uint64(32)).astype(np.uint32).tobytes())
             for b, i in _by_bucket((anchor % np.uint64(buckets)).astype(np.int32))
         ]
+        if len(sure_doc):
+            rows.append((-1 - int(sure_doc[0] % buckets), _pack_ids(sure_doc), _pack(sure_run), b""))
         return pd.DataFrame(rows, columns=["bucket", "docs", "runs", "anchors"])
 
     def run(batches):
@@ -275,20 +302,27 @@ def _list_anchors(length: int, buckets: int, lot: int = 24 << 20):
 
 
 def _shared_runs(hot: int):
-    """Rows ``doc_id, run`` of the anchors met in two documents at least; -1 - run where more than ``hot`` runs have it."""
+    """Rows ``doc_id, run`` of the anchors met in two documents at least; -1 - run where they are hot.
+
+    Hot: in more than ``hot`` runs of a bucket, or in too many of a lot.
+    """
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         doc = np.concatenate([_unpack_ids(x) for x in group["docs"]])
         run = np.concatenate([_unpack(x) for x in group["runs"]])
-        anchor = np.frombuffer(b"".join(group["anchors"]), np.uint32)
-        order = np.argsort(anchor)
-        ranked = anchor[order]
-        cut = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        many = np.diff(np.concatenate((cut, [len(ranked)])))
-        low, high = np.minimum.reduceat(doc[order], cut), np.maximum.reduceat(doc[order], cut)
-        kept = np.repeat(low < high, many)
-        run = np.where(np.repeat(many > hot, many), -1 - run[order], run[order])
-        doc, run = doc[order][kept], run[kept]
+        if group["bucket"].iloc[0] < 0:
+            run = -1 - run
+        else:
+            anchor = np.frombuffer(b"".join(group["anchors"]), np.uint32)
+            order = np.argsort(anchor)
+            ranked, doc, run = anchor[order], doc[order], run[order]
+            cut = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+            many = np.diff(np.concatenate((cut, [len(ranked)])))
+            low, high = np.minimum.reduceat(doc, cut), np.maximum.reduceat(doc, cut)
+            full = (many > hot) | (np.minimum.reduceat(run, cut) < 0)
+            kept = np.repeat(low < high, many) & (run >= 0)
+            run = np.where(np.repeat(full, many), -1 - run, run)
+            doc, run = doc[kept], run[kept]
         turn = np.lexsort((run, doc))
         return pd.DataFrame({"doc_id": doc[turn], "run": run[turn].astype(np.int32)})
 
@@ -413,7 +447,7 @@ def repeated_ranges(docs: DataFrame, length: int, hot: int, shard: int) -> DataF
     buckets = 4 * parts(spark)
     rows = docs.filter("doc_id IS NOT NULL")
     listed = rows.select("doc_id", "text").mapInPandas(
-        _list_anchors(length, buckets), "bucket int, docs binary, runs binary, anchors binary"
+        _list_anchors(length, buckets, max(1, hot // 64)), "bucket int, docs binary, runs binary, anchors binary"
     )
     shared = listed.groupBy("bucket").applyInPandas(_shared_runs(hot), "doc_id long, run int")
     # dealt by id first: partial lists of a few numbers would be larger than the numbers
@@ -458,14 +492,23 @@ def substring_dedup(
     ``hot`` parts ways of computing (see above), not results.
 
     The texts are written once to the shared folder as a table bucketed by id, so that
-    neither later pass shuffles them.
+    neither later pass shuffles them; it is dropped when the result is saved.
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("same"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("same"))
     name = f"dedup_{uuid.uuid4().hex}"
     place = f"{shared_dir(spark)}/{name}"
     docs.write.option("compression", "zstd").option("path", place).bucketBy(parts(spark), "doc_id").saveAsTable(name)
+    try:
+        with scratch(spark) as keep:
+            return keep(_without_repeats(spark, name, length, hot, shard))
+    finally:
+        remove(spark, place, name)
+
+
+def _without_repeats(spark: SparkSession, name: str, length: int, hot: int, shard: int) -> DataFrame:
+    """The result for the table ``name`` of ``doc_id, text, same``."""
     marks = saved(_marks(spark.table(name).select("doc_id", "same").filter("doc_id IS NOT NULL")))
     docs = spark.table(name).join(marks.hint("shuffle_hash"), "doc_id", "left").select(
         "doc_id",
