@@ -8,12 +8,15 @@ verified by Myers' bit-parallel edit distance on the text around it.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relinker.llm.common import saved
+
 #: ASCII letters lower-cased, other ASCII characters but digits to spaces; bytes from 128 stay.
 _PLAIN = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -98,19 +101,25 @@ class Matcher:
         return found
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[tuple[str, list[tuple[int, str]]]]:
-    """The items in blocks of about ``block_bytes``, so what one pass ships is bounded however many there are.
+Block = tuple[str, list[tuple[int, str]]]
+
 
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[Block]]:
+    """How many blocks of about ``block_bytes`` the items make, and the blocks, each fetched when it is asked for.
+
+    So what the driver holds and one pass ships is bounded, however many there are.
     Null ids and items without a letter or digit cannot be matched and are in no block.
     """
     items = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total // block_bytes
-    out = []
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
-        out.append((uuid.uuid4().hex, [(r.id, t) for r in rows if (t := normal(r.text))]))
-    return out
+
+    def each() -> Iterator[Block]:
+        for b in range(blocks):
+            rows = items.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
+            yield uuid.uuid4().hex, [(r.id, t) for r in rows if (t := normal(r.text))]
+
+    return blocks, each()
 
 
 def contamination(
@@ -121,12 +130,14 @@ def contamination(
 
     An item of n normal characters may differ by ``int(n * error_rate)`` edits; ``end``
     is the place after its best match in the normal text. All items go against all
-    rows, block by block. Null and empty texts hold nothing; a null id stays null;
+    rows, block by block; with several blocks, each one's rows are saved before the
+    next block is fetched. Null and empty texts hold nothing; a null id stays null;
     repeated rows and items each count; items without a letter or digit match nothing.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     out = None
-    for name, block in item_blocks(items, item_id, item_text, block_bytes):
+    blocks, each = item_blocks(items, item_id, item_text, block_bytes)
+    for name, block in each:
 
         def search(batches, name=name, block=block):
             matcher = Matcher.of(name, block, error_rate)
@@ -139,6 +150,7 @@ def contamination(
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "end"]).astype({"doc_id": "Int64"})
 
         found = docs.mapInPandas(search, "doc_id long, item_id long, distance int, end long")
+        found = saved(found) if blocks > 1 else found
         out = found if out is None else out.union(found)
     return out
 
@@ -147,10 +159,20 @@ def drop_contaminated(
     df: DataFrame, items: DataFrame, text_col: str = "text", *,
     item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.08, block_bytes: int = 4_000_000,
 ) -> DataFrame:
-    """``df`` without the rows whose text holds an item; all columns stay, and rows with a null text."""
-    for name, block in item_blocks(items, item_id, item_text, block_bytes):
-        df = df.filter(_clean(name, block, error_rate)(F.col(text_col)))
-    return df
+    """``df`` without the rows whose text holds an item; all columns stay, and rows with a null text.
+
+    One block of items filters the rows where they lie; several are met one after the
+    other, and what was found in the texts leaves by the texts' SHA-256.
+    """
+    blocks, each = item_blocks(items, item_id, item_text, block_bytes)
+    if blocks == 1:
+        return df.filter(_clean(*next(each), error_rate)(F.col(text_col)))
+    name = F.sha2(F.col(text_col).cast("binary"), 256)
+    gone = None
+    for block in each:
+        held = df.filter(~_clean(*block, error_rate)(F.col(text_col))).select(name.alias("__gone")).distinct()
+        gone = saved(held if gone is None else gone.union(held).distinct())
+    return df.join(gone, name == F.col("__gone"), "left_anti")
 
 
 def _clean(name: str, block: list[tuple[int, str]], error_rate: float):
