@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relinker.llm.common import documents, saved
+from relinker.llm.common import documents
 
 ROWS_BITS, DIMS, NONZERO = 14, 32, 3
 ROWS = 1 << ROWS_BITS
@@ -191,7 +191,11 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60, seed:
 
 
 def _trained(docs: DataFrame, labels: DataFrame, label_id: str, label_col: str, folds: int, held_fold: int, max_samples: int):
-    """The word vectors (broadcast), ``doc_id, held_out, vector`` of ``docs(doc_id, text)``, saved, and the network."""
+    """The word vectors (broadcast), a column that tells which ids are held out, and the network.
+
+    Only the texts of the drawn labelled rows are pooled; their ids, ``max_samples`` or
+    so at most, are broadcast.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))  # bounded: ROWS * DIMS
 
     @F.pandas_udf("binary")
@@ -199,14 +203,21 @@ def _trained(docs: DataFrame, labels: DataFrame, label_id: str, label_col: str,
         return pd.Series([pooled(t, shared.value).astype(np.float16).tobytes() for t in texts], dtype=object)
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_fold, F.lit(False))
-    rows = saved(docs.select("doc_id", held.alias("held_out"), vector("text").alias("vector")))
     marks = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).alias("label")).filter("label IN (0, 1)")
-    pool = rows.filter("NOT held_out").join(marks, "doc_id")
-    share = max_samples / max(1, pool.count())
-    drawn = pool.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6 < share).select("vector", "label").collect()
-    drawn = sorted((bytes(r.vector), r.label) for r in drawn)
-    net = fit(_matrix(v for v, _ in drawn), np.array([y for _, y in drawn], np.float64))
-    return shared, rows, net
+    ids = docs.filter(~held).select("doc_id")
+    share = max_samples / max(1, ids.join(marks, "doc_id").count())
+    drawn = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6 < share).join(ids.distinct(), "doc_id", "left_semi")
+    rows = docs.filter(~held).join(F.broadcast(drawn), "doc_id").select(vector("text").alias("vector"), "label").collect()
+    rows = sorted((bytes(r.vector), r.label) for r in rows)
+    net = fit(_matrix(v for v, _ in rows), np.array([y for _, y in rows], np.float64))
+    return shared, held, net
+
+
+def _probability(texts: pd.Series, vectors: np.ndarray, net: Network) -> np.ndarray:
+    """Of each text (null: empty), through the same rounding as in training."""
+    if not len(texts):
+        return np.empty(0)
+    return net.probability(_matrix(pooled(t or "", vectors).astype(np.float16).tobytes() for t in texts))
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -226,15 +237,13 @@ def quality_scores(
     null labels and those other than 0 and 1 teach nothing; repeated rows count each.
     """
     docs = documents(df, id_col, text_col)
-    _, rows, net = _trained(docs, labels, label_id, label_col, folds, held_fold, max_samples)
+    shared, held, net = _trained(docs, labels, label_id, label_col, folds, held_fold, max_samples)
 
     @F.pandas_udf("double")
-    def score(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=float)
-        return pd.Series(net.probability(_matrix(vectors)))
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(_probability(texts, shared.value, net), dtype=float)
 
-    scored = rows.select("doc_id", "held_out", score("vector").alias("score"))
+    scored = docs.select("doc_id", held.alias("held_out"), score("text").alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
@@ -251,8 +260,6 @@ def drop_low_quality(
 
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:
-        if not len(texts):
-            return pd.Series([], dtype=bool)
-        return pd.Series(net.probability(_matrix(pooled(t or "", shared.value).astype(np.float16).tobytes() for t in texts)) >= threshold)
+        return pd.Series(_probability(texts, shared.value, net) >= threshold, dtype=bool)
 
     return df.filter(good(F.col(text_col)))
