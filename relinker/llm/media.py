@@ -377,6 +377,12 @@ def histogram(frame: np.ndarray, bins: int = 16) -> np.ndarray:
     return np.bincount(frame[:, :, 0].ravel() >> 4, minlength=bins)[:bins] / max(1, frame.shape[0] * frame.shape[1])
 
 
+def timed(histograms: np.ndarray, fps: float) -> list[tuple[int, int, float, float]]:
+    """First frame, number of frames, start and end in seconds of each shot."""
+    starts = shots(histograms)
+    return [(a, b - a, a / fps, b / fps) for a, b in zip(starts, [*starts[1:], len(histograms)])]
+
+
 def clips(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """A row for each shot of each AVI: id, ``clip, first_frame, frames, start_s, end_s, mean`` and ``error``.
 
@@ -391,14 +397,16 @@ def clips(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
             for name, media in zip(batch["id"].tolist(), batch["media"].tolist()):
                 try:
                     avi = read_avi(bytes(media))
+                    if not avi.fps:
+                        raise ValueError("no frame rate")
                     got = [decode_jpeg(f) for f in avi.frames]
                 except (ValueError, struct.error, IndexError, KeyError, StopIteration) as e:
                     rows.append((name, None, None, None, None, None, None, str(e) or type(e).__name__))
                     continue
-                starts = shots(np.array([histogram(g) for g in got]).reshape(-1, 16))
-                for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(got)])):
-                    mean = float(np.mean([g[:, :, 0].mean() for g in got[a:b]]))
-                    rows.append((name, k, a, b - a, a / avi.fps, b / avi.fps, mean, None))
+                shares = np.array([histogram(g) for g in got]).reshape(-1, 16)
+                for k, (a, n, start, end) in enumerate(timed(shares, avi.fps)):
+                    mean = float(np.mean([g[:, :, 0].mean() for g in got[a : a + n]]))
+                    rows.append((name, k, a, n, start, end, mean, None))
             names = [f.split()[0] for f in schema.split(", ")]
             whole = {c: "Int32" for c in ("clip", "first_frame", "frames")}
             yield pd.DataFrame(rows, columns=names).astype(whole)
@@ -438,29 +446,33 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """For each row of ``df``: its text stored as an AVI, read back, and digests and features of that.
 
     ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature``. The feature has the number of frames and shots, the mean
-    sample, and the histogram's largest bin with its share. A null text is empty (one
+    media_sha256, feature, clips``. The feature has the number of frames and shots, the mean
+    sample, and the histogram's largest bin with its share; ``clips`` has each shot's
+    first frame, number of frames, start and end in seconds. A null text is empty (one
     line of zeros). Narrow: one row at a time, nothing is shuffled; null ids and
     repeated rows stay; other columns are not carried.
     """
 
     @F.pandas_udf(
-        "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+        "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string,"
+        " feature string, clips string"
     )
     def stored(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             data = (t or "").encode("utf-8", "surrogatepass")
             media = store(padded(data))
-            back, frames, _ = read_back(media)
+            back, frames, avi = read_back(media)
             shares = np.array([histogram(f) for f in frames])
             mean = sum(float(f.sum(dtype=np.int64)) for f in frames) / sum(f.size for f in frames)
             top = int(np.argmax(shares.mean(axis=0)))
-            feature = f"frames={len(frames)};shots={len(shots(shares))};mean={mean:.3f};top={top}:{shares[:, top].mean():.4f}"
+            found = timed(shares, avi.fps)
+            feature = f"frames={len(frames)};shots={len(found)};mean={mean:.3f};top={top}:{shares[:, top].mean():.4f}"
             rows.append(
-                (len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+                (len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature,
+                 ",".join(f"{a}+{n}:{start:.3f}-{end:.3f}" for a, n, start, end in found))
             )
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
         return pd.DataFrame(rows, columns=names)
 
     docs = df.select(F.col(id_col).alias("doc_id"), stored(F.col(text_col)).alias("m"))

@@ -107,12 +107,15 @@ def movie(levels):
 
 def test_shots_and_clips(spark):
     avi = media.write_avi(movie([16] * 12 + [160] * 7 + [96] * 9), 16, 16, fps=10)
-    rows = [("a", avi), ("b", b"RIFF"), ("c", None), (None, avi[: avi.index(b"idx1")])]
+    still = bytearray(avi)
+    struct.pack_into("<I", still, avi.index(b"vidsMJPG") + 24, 0)
+    rows = [("a", avi), ("b", b"RIFF"), ("c", None), (None, avi[: avi.index(b"idx1")]), ("d", bytes(still))]
     df = spark.createDataFrame(rows, "id string, media binary").withColumnRenamed("id", "clip")
     got = media.clips(df, "clip", "media").collect()
     for name in ("a", None):
         mine = sorted((r.clip, r.first_frame, r.frames, r.start_s, r.end_s) for r in got if r.id == name)
         assert mine == [(0, 0, 12, 0.0, 1.2), (1, 12, 7, 1.2, 1.9), (2, 19, 9, 1.9, 2.8)]
+    assert [r.error for r in got if r.id == "d"] == ["no frame rate"]
     assert [r.error for r in got if r.id == "b"] == ["not an AVI file"] and not [r for r in got if r.id == "c"]
     assert media.clips(df.limit(0), "clip", "media").collect() == []
 
@@ -134,4 +137,8 @@ def test_edges(spark):
     got = media.text_media(df).collect()
     assert sorted((r.doc_id or 0, r.n_bytes, r.payload_bytes) for r in got) == [(0, 0, 64), (1, 0, 64), (2, 200_000, 200_000), (2, 200_000, 200_000)]
     assert len({r.media_sha256 for r in got}) == 2
+    for r in got:  # shots follow each other without a gap and cover all frames
+        spans = [tuple(map(int, c.split(":")[0].split("+"))) for c in r.clips.split(",")]
+        assert [a for a, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))]
+        assert r.feature.startswith(f"frames={sum(n for _, n in spans)};shots={len(spans)};")
     assert media.text_media(df.limit(0)).collect() == []
