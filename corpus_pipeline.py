@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relinker.llm.common import saved, table
+from relinker.llm.common import scratch, table
 from relinker.llm.decontaminate import drop_contaminated
 from relinker.llm.packing import pack_documents
 from relinker.llm.quality import drop_low_quality
@@ -57,13 +57,17 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read again."""
+    """All stages over ``documents``; each stage's rows are written and read again.
+
+    What a stage wrote for itself goes when its rows are written, and the stages' rows go
+    when the last ones are.
+    """
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = saved(docs)
-    return docs
+    with scratch(spark) as keep:
+        for _, stage in STAGES[:-1]:
+            with scratch(spark) as hold:
+                docs = hold(stage(spark, docs, sf_dir))
+        return keep(STAGES[-1][1](spark, docs, sf_dir))
 
 
 #: Not expressible: a trained network, fingerprints and a tokenizer decide.
