@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from relinker.llm.common import parts, saved, scratch, ship
 
-FAN, DEPTH = 3, 7
-CHUNK = FAN**DEPTH
+FAN = 3
+#: Levels of a chunk, which so has FAN ** DEPTH nodes at most.
+DEPTH = 7
 
 
 def _root_bits(prime: int, degree: int) -> int:
@@ -156,10 +157,10 @@ def _levels(n: int) -> int:
     return levels
 
 
-def _built(digests: np.ndarray, n: int) -> list[Parents]:
+def _built(digests: np.ndarray, n: int, depth: int) -> list[Parents]:
     """A chunk's levels of parents, of a tree that has n nodes in all."""
     out = []
-    for _ in range(min(DEPTH, _levels(n))):
+    for _ in range(min(depth, _levels(n))):
         out.append(Parents(digests))
         digests = out[-1].digests
     return out
@@ -183,56 +184,54 @@ def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
 
 
 _NODES = "grp string, place long, digest string, n long"
+_NODES_COLUMNS = ("grp", "place", "digest", "n")
 
 
-def _chunk_roots(nodes: DataFrame) -> DataFrame:
+def _chunk_roots(nodes: DataFrame, depth: int) -> DataFrame:
     """The next round's nodes."""
 
     def root(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows, n = rows.sort_values("place"), int(rows["n"].iloc[0])
-        top = _built(to_words(rows["digest"]), n)
+        top = _built(to_words(rows["digest"]), n, depth)
         digest = to_hex(top[-1].digests)[0] if top else rows["digest"].iloc[0]
-        return pd.DataFrame({"grp": [key[0]], "place": [key[1]], "digest": [digest], "n": [-(-n // CHUNK)]})
-
-    return nodes.select(*_NODES_COLUMNS).groupBy("grp", _chunk()).applyInPandas(root, _NODES)
+        return pd.DataFrame({"grp": [key[0]], "place": [key[1]], "digest": [digest], "n": [-(-n // FAN**depth)]})
 
-
-_NODES_COLUMNS = ("grp", "place", "digest", "n")
+    return nodes.select(*_NODES_COLUMNS).groupBy("grp", _chunk(depth)).applyInPandas(root, _NODES)
 
 
-def _chunk(at: str = "place") -> Column:
-    return F.floor(F.col(at) / CHUNK).cast("long").alias("chunk")
+def _chunk(depth: int) -> Column:
+    return F.floor(F.col("place") / FAN**depth).cast("long").alias("chunk")
 
 
-def _rounds(nodes: DataFrame) -> list[DataFrame]:
+def _rounds(nodes: DataFrame, depth: int) -> list[DataFrame]:
     """Nodes of each round, up to that in which every group has one; only the largest number comes to the driver."""
     out = [nodes]
     most = nodes.agg(F.max("n")).first()[0] or 0
     while most > 1:
-        out.append(saved(_chunk_roots(out[-1])))
-        most = -(-most // CHUNK)
+        out.append(saved(_chunk_roots(out[-1], depth)))
+        most = -(-most // FAN**depth)
     return out
 
 
-def _paths(rounds: list[DataFrame], tops: DataFrame) -> DataFrame:
+def _paths(rounds: list[DataFrame], tops: DataFrame, depth: int) -> DataFrame:
     """``grp, place, path`` of the first of these rounds' nodes, from ``tops(grp, place, path)`` of the last one's."""
 
     def extend(key: tuple, rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place")
         at = np.arange(len(rows))
         own = np.empty((len(rows), 0), np.uint8)
-        for level in _built(to_words(rows["digest"]), int(rows["n"].iloc[0])):
+        for level in _built(to_words(rows["digest"]), int(rows["n"].iloc[0]), depth):
             own, at = np.concatenate([own, level.steps(at).packed()], axis=1), at // FAN
         rest = bytes(above["path"].iloc[0])
         return pd.DataFrame({"grp": rows["grp"], "place": rows["place"], "path": [x.tobytes() + rest for x in own]})
 
     for nodes in reversed(rounds):
-        both = nodes.select(*_NODES_COLUMNS).groupBy("grp", _chunk()).cogroup(tops.groupBy("grp", F.col("place").alias("chunk")))
+        both = nodes.select(*_NODES_COLUMNS).groupBy("grp", _chunk(depth)).cogroup(tops.groupBy("grp", F.col("place").alias("chunk")))
         tops = saved(both.applyInPandas(extend, "grp string, place long, path binary"))
     return tops
 
 
-def _folded(leaves: DataFrame, above: DataFrame) -> DataFrame:
+def _folded(leaves: DataFrame, above: DataFrame, depth: int) -> DataFrame:
     """Each leaf with its folded root and its proof's hash; ``claim`` is the hash that is folded."""
 
     def fold(key: tuple, rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
@@ -240,7 +239,7 @@ def _folded(leaves: DataFrame, above: DataFrame) -> DataFrame:
         at, value = np.arange(len(rows)), to_words(rows["claim"])
         proof, blocks = np.broadcast_to(START, (len(rows), 8)), np.zeros(len(rows), np.int64)
         steps = []
-        for level in _built(to_words(rows["digest"]), int(rows["n"].iloc[0])):
+        for level in _built(to_words(rows["digest"]), int(rows["n"].iloc[0]), depth):
             steps.append(level.steps(at))
             at = at // FAN
         for step in [*steps, *Steps.unpacked(bytes(above["path"].iloc[0]), len(rows))]:
@@ -250,7 +249,7 @@ def _folded(leaves: DataFrame, above: DataFrame) -> DataFrame:
         done = {"id": rows["id"], "grp": rows["grp"], "digest": rows["digest"], "folded_root": to_hex(value), "proof_sha256": to_hex(proof)}
         return pd.DataFrame(done)
 
-    rows = leaves.select("id", *_NODES_COLUMNS, "claim").groupBy("grp", _chunk())
+    rows = leaves.select("id", *_NODES_COLUMNS, "claim").groupBy("grp", _chunk(depth))
     kind = leaves.schema["id"].dataType.simpleString()
     schema = f"id {kind}, grp string, digest string, folded_root string, proof_sha256 string"
     return rows.cogroup(above.groupBy("grp", F.col("place").alias("chunk"))).applyInPandas(fold, schema)
@@ -269,6 +268,7 @@ def manifest(
     columns: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"),
     *,
     replace: Callable[[str, Column], Column] = lambda name, value: value,
+    depth: int = DEPTH,
 ) -> DataFrame:
     """One row for each row of ``df``: ``doc_id, leaf, subroot, root, proof_sha256, folded_root, verified``.
 
@@ -280,7 +280,7 @@ def manifest(
     what a column is claimed to be now; ``folded_root`` is the root that the claimed row
     has with the original siblings, by the parents' kept states, and ``verified`` tells
     whether it is the root. Null texts and other nulls are values of their own; a table
-    with one row has its leaf as root; an empty table gives no rows. Columns that are not
+    with one row has its leaf as root; tasks get ``3 ** depth`` neighbours at most; an empty table gives no rows. Columns that are not
     named are not read. Ids and groups may be of any type that casts to text.
     """
     ship(df.sparkSession)
@@ -290,13 +290,13 @@ def manifest(
         claims = leaf_of([replace(c, col(c)) for c in columns]).alias("claim")
         rows = df.select(col(id_col).alias("id"), F.coalesce(grp, F.lit("")).alias("grp"), leaf_of([col(c) for c in columns]).alias("digest"), claims)
         leaves = saved(ranked(rows, "grp", ["id", "digest"]))
-        rounds = _rounds(leaves)
+        rounds = _rounds(leaves, depth)
         subroots = rounds[-1].select(F.lit("").alias("all"), "grp", "digest")
         tops = saved(ranked(subroots, "all", ["grp"]))
-        roots = _rounds(tops.select(F.col("all").alias("grp"), "place", "digest", "n"))
-        above = _paths(roots[:-1], roots[-1].select("grp", "place", F.lit(b"").alias("path")))
+        roots = _rounds(tops.select(F.col("all").alias("grp"), "place", "digest", "n"), depth)
+        above = _paths(roots[:-1], roots[-1].select("grp", "place", F.lit(b"").alias("path")), depth)
         above = tops.join(above.select("place", "path"), "place").select("grp", F.lit(0).cast("long").alias("place"), "path")
-        folded = _folded(leaves, _paths(rounds[1:-1], above))
+        folded = _folded(leaves, _paths(rounds[1:-1], above, depth), depth)
         named = tops.select("grp", F.col("digest").alias("subroot"))
         root = roots[-1].select(F.col("digest").alias("root")).first()
         out = folded.join(named, "grp").withColumn("root", F.lit(root[0] if root else None).cast("string"))
