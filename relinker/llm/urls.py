@@ -7,6 +7,7 @@ its own substrings, by a join, so no word list is broadcast.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from math import log, log10
 
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relinker.llm.common import saved
+from relinker.llm.common import saved, ship
 
 #: Fixed values: (host, path prefix, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -97,31 +98,43 @@ def _names(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit("[a-z]+"), F.lit(0))
 
 
+def _rule_names(rules) -> list[str]:
+    """Names that the rules themselves speak of: host labels and path segments."""
+    return sorted({n for host, path, _ in rules for n in re.findall("[a-z]+", f"{host} {path}".lower())})
+
+
 def filter_urls(
-    df: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", rules=RULES, learn: Column | None = None
-) -> DataFrame:
+    df: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", rules=RULES,
+    learn: Column | None = None, split: bool = True,
+) -> DataFrame:
     """One row for each row of ``df``: id, host, path, rule (or null), verdict, score (log odds of block).
 
     The rules decide the URLs that they fit and label them for training, where ``learn``
     is true (by default everywhere); the model decides the others. Tokens are the words
-    of the host's and the path's names, and the host's last label. A null URL, or one
-    without ``://``, has an empty host and path and gets the prior's verdict: block only
-    where blocked training rows are more. Repeated rows and null ids stay rows of their
-    own; other columns are not carried; an empty table gives no rows.
+    into which the names of host and path are split (with ``split`` false the names
+    themselves, for comparison), but for the host's last label and the names that the rules speak
+    of, which would only say again what the rules say. Every URL of a labelled host and path counts
+    once a row. A null URL, or one without ``://``, has an empty host and path and, like
+    one whose words no labelled URL has, gets the prior's verdict: block only where blocked
+    training rows are more. Repeated rows and null ids stay rows of their own; other
+    columns are not carried; an empty table gives no rows.
     """
+    ship(df.sparkSession)
     url = F.col(url_col)
     taught = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
     rows = df.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), taught.alias("taught"))
     rows = rows.withColumn("hit", _longest_rule(F.col("host"), F.col("path"), rules))
     urls = rows.groupBy("host", "path").agg(F.first("hit").alias("hit"), F.count_if("taught").alias("many"))
     urls = saved(urls.withColumn("label", F.when(F.col("many") > 0, F.col("hit.verdict"))))
-    top = F.regexp_extract("host", r"\.[^.]*\z", 0)  # with its dot, so it is no word
     host = F.regexp_replace("host", r"\.[^.]*\z", "")
     named = urls.select("host", "path", F.explode(F.concat(_names(host), _names(F.col("path")))).alias("name"))
-    split = saved(segment(named.select("name"), saved(word_counts(df, text_col))))
-    words = named.join(split, "name").select("host", "path", F.explode("words").alias("token"))
-    tops = urls.select("host", "path", top.alias("token")).filter("token <> ''")
-    per_url = saved(words.union(tops).groupBy("host", "path", "token").agg(F.count("*").alias("n")))
+    named = named.filter(~F.col("name").isin(_rule_names(rules)))
+    if split:
+        cut = saved(segment(named.select("name"), saved(word_counts(df, text_col))))
+        words = named.join(cut, "name").select("host", "path", F.explode("words").alias("token"))
+    else:
+        words = named.withColumnRenamed("name", "token")
+    per_url = saved(words.groupBy("host", "path", "token").agg(F.count("*").alias("n")))
     labelled = urls.filter("label IS NOT NULL").select("host", "path", "many", "label")
     block = lambda c: F.sum(F.when(F.col("label") == "block", F.col(c)).otherwise(0))
     allow = lambda c: F.sum(F.when(F.col("label") == "allow", F.col(c)).otherwise(0))

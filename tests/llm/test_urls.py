@@ -1,8 +1,7 @@
+import random
 import re
 from math import log10
 
-from pyspark.sql import functions as F
-
 from relinker.llm import registry, urls
 
 SF = "/root/testdata/sf0.01"
@@ -26,20 +25,45 @@ def test_whole_table(spark):
         assert (r.host, r.path) == parts(pages[r.page_id])
         rule, verdict = ruled(r.host, r.path)
         assert r.rule == rule and r.verdict == (verdict or ("block" if r.score > 0 else "allow"))
-    assert {r.verdict for r in rows if r.rule is None} == {"allow", "block"}
-
-
-def test_held_out_hosts(spark):
-    """Hosts that teach nothing: the model alone against what the rules say of them."""
-    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
-    taught = F.crc32(urls.host_of(F.col("url")).cast("binary")) % 3 != 0
-    held = {r.page_id for r in pages.filter(~taught).collect()}
-    rows = [r for r in urls.filter_urls(pages, learn=taught).collect() if r.page_id in held and r.rule is not None]
-    said, true = [r.score > 0 for r in rows], [r.verdict == "block" for r in rows]
-    both = sum(s and t for s, t in zip(said, true))
-    precision, recall = both / sum(said), both / sum(true)
-    print(f"held-out hosts: {len(rows)} rows, precision of block {precision:.3f}, recall {recall:.3f}")
-    assert len({r.host for r in rows}) > 5 and precision >= 0.9 and recall >= 0.9
+    assert {r.verdict for r in rows if r.rule is None} <= {"allow", "block"}
+
+
+BAD, GOOD, PLAIN = ["casino", "pills", "bets", "viagra", "poker"], ["garden", "school", "recipe", "museum", "river"], ["best", "online", "my", "the", "city"]
+
+
+def planted_pages():
+    """Hosts whose names run words together. Rules decide those of .net (block) and of .org/fr (allow); no rule the others."""
+    rng, rows, text = random.Random(5), [], " ".join([*BAD, *GOOD, *PLAIN] * 30)
+    for i in range(400):
+        bad = i % 2 == 0
+        words = [rng.choice(BAD if bad else GOOD), rng.choice(PLAIN), rng.choice(BAD if bad else GOOD)]
+        rng.shuffle(words)
+        held = i % 4 >= 2
+        top, path = ("com", "/x/") if held else ("net", "/x/") if bad else ("org", "/fr/")
+        rows.append((i, f"https://www.{''.join(words)}{'' if rng.random() < 0.5 else '-' + rng.choice(PLAIN)}.{top}{path}{i}", text, bad, held))
+    return rows
+
+
+def test_segmented_words_decide(spark):
+    """Names that no rule decides and no labelled URL has: only their words, found by Viterbi, tell."""
+    rows = planted_pages()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, bad boolean, held boolean")
+    got = {r.page_id: r for r in urls.filter_urls(df).collect()}
+    held = [r for r in rows if r[4]]
+    assert all(got[r[0]].rule is None for r in held) and all(got[r[0]].rule for r in rows if not r[4])
+    right = sum((got[r[0]].verdict == "block") == r[3] for r in held)
+    whole = {r.page_id: r for r in urls.filter_urls(df, split=False).collect()}
+    unsplit = sum((whole[r[0]].verdict == "block") == r[3] for r in held)
+    print(f"{len(held)} held-out hosts: right {right}, without segmentation {unsplit}")
+    assert right >= 0.98 * len(held) and unsplit < 0.7 * len(held)
+
+
+def test_rules_own_names_are_no_tokens(spark):
+    """What the rules speak of does not decide: a host's last label and the rules' path segments."""
+    rows = [(i, f"https://site.{top}/{path}/", "", i) for i, (top, path) in enumerate([("net", "x")] * 30 + [("example.net", "en")] * 20 + [("com", "de")] * 3 + [("org", "en")] * 3)]
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string, n int")).collect()
+    assert len({r.verdict for r in got if r.rule is None}) == 1
+    assert urls._rule_names(urls.RULES) == ["com", "de", "en", "example", "fr", "net", "org"]
 
 
 def slow_viterbi(name, words, total):
