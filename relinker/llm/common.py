@@ -118,6 +118,10 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+#: Edges up to which components are found in one task (a few MB), without a shuffle for each step.
+SMALL_GRAPH = 100_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (its smallest reachable node) for every node of ``links(a, b)``.
 
@@ -125,19 +129,24 @@ def components(links: DataFrame) -> DataFrame:
     that its old label names takes it too (hooking), and labels are followed a step
     further, so the rounds grow with the logarithm of the longest path, in whatever
     order its ids are. Each round is written to the shared folder (all are removed at
-    the end); only whether something changed comes to the driver.
+    the end); only whether something changed comes to the driver. A graph of up to
+    ``SMALL_GRAPH`` edges, counted both ways, stays in one partition.
     """
     spark = links.sparkSession
     with scratch(spark) as keep:
         both = saved(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
-        label = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+        small = both.limit(SMALL_GRAPH + 1).count() <= SMALL_GRAPH
+        held = (lambda df: df.coalesce(1)) if small else (lambda df: df)
+        both = held(both)
+        label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        label = held(saved(label.select("node", F.least("node", "m").alias("label"))))
         while True:
             upper = label.select(F.col("node").alias("label"), F.col("label").alias("upper"))
-            far = saved(label.join(upper, "label"))
+            far = held(saved(label.join(upper, "label")))
             least = both.join(far, both.b == far.node).groupBy("a").agg(F.min("upper").alias("m"))
             own = F.struct("node", F.least("upper", "m").alias("label"), F.col("label").alias("was"))
             hook = F.struct(F.col("label").alias("node"), F.col("m").alias("label"), F.lit(None).cast(far.schema["label"].dataType).alias("was"))
             offers = far.join(least, far.node == least.a).select(F.explode(F.array(own, hook)).alias("o")).select("o.*")
-            label = saved(offers.groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was")))
+            label = held(saved(offers.groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was"))))
             if not label.filter("label <> was").limit(1).count():
                 return keep(label.select("node", F.col("label").alias("component")))
