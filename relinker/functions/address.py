@@ -51,8 +51,10 @@ def is_under(path: Column, old: str) -> Column:
 def move_prefix(path: Column, old: str, new: str) -> Column:
     """Replace the prefix ``old`` by ``new``; other paths stay as they are.
 
-    ``concat`` takes ``new`` literally, so ``$`` and backslashes in it mean nothing.
+    Both are whole segments, as ``check_prefix`` has it. ``concat`` takes ``new``
+    literally, so ``$`` and backslashes in it mean nothing.
     """
+    check_prefix(new)
     rest = F.substring(path, len(old) + 1, 2**31 - 1)
     return F.when(is_under(path, old), F.concat(F.lit(new), rest)).otherwise(path)
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from relinker import redirect
+from relinker.functions.address import move_prefix
 from relinker.plans import links
 from relinker.streaming import start_redirect
 
@@ -86,6 +87,12 @@ def test_rejected_arguments(spark, old, new):
         run(spark, ["https://h/"], old, new)
 
 
+@pytest.mark.parametrize("new", ["n", "/", "/n/", "/a?b", "/a#b", r"/a\Eb", ""])
+def test_prefix_column_function_rejects(spark, new):
+    with pytest.raises(ValueError):
+        move_prefix(F.col("path"), "/old", new)
+
+
 def test_edges_against_sql(spark, same_as_sql, tmp_path):
     """The edge table, moved to the queries' prefixes, under the same SQL as the driver's table."""
     urls = [u and u.replace("old-app", "en").replace("OLD-APP", "EN") for u, _, _ in EDGES if u is None or "\n" not in u]
