@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relinker.llm.common import saved
+from relinker.llm.common import saved, ship
 
 #: ASCII letters lower-cased, other ASCII characters but digits to spaces; bytes from 128 stay.
 _PLAIN = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -128,12 +128,15 @@ def contamination(
 ) -> DataFrame:
     """``doc_id, item_id, distance, end`` for each row of ``df`` and each item that it holds.
 
-    An item of n normal characters may differ by ``int(n * error_rate)`` edits; ``end``
+    An item of n normal characters may differ by ``int(n * error_rate)`` edits, so one of
+    less than 1 / ``error_rate`` (13) matches exactly, wherever its characters are in a row,
+    within a word too: short items are to be left out before if that is not meant. ``end``
     is the place after its best match in the normal text. All items go against all
     rows, block by block; with several blocks, each one's rows are saved before the
     next block is fetched. Null and empty texts hold nothing; a null id stays null;
     repeated rows and items each count; items without a letter or digit match nothing.
     """
+    ship(df.sparkSession)
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     out = None
     blocks, each = item_blocks(items, item_id, item_text, block_bytes)
@@ -164,6 +167,7 @@ def drop_contaminated(
     One block of items filters the rows where they lie; several are met one after the
     other, and what was found in the texts leaves by the texts' SHA-256.
     """
+    ship(df.sparkSession)
     blocks, each = item_blocks(items, item_id, item_text, block_bytes)
     if blocks == 1:
         return df.filter(_clean(*next(each), error_rate)(F.col(text_col)))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relinker.llm.common import ship
 from relinker.llm.decontaminate import normal
 
 #: Families; a language in none of them is its own family.
@@ -23,6 +24,8 @@ FAMILIES = {
     "slavic": ("bg", "cs", "hr", "pl", "ru", "sk", "sl", "sr", "uk"),
 }
 BUCKETS = 4096
+#: Languages to learn; their pairs make machines in the driver.
+MOST_LANGUAGES = 256
 _CHUNK = 1 << 20
 
 
@@ -122,10 +125,14 @@ def train(labelled: DataFrame, max_samples: int, families=FAMILIES) -> Identifie
 
     About ``max_samples`` rows of each language are used, chosen by the hash of their
     id, so the choice depends on no order; their features, not their texts, come to
-    the driver. Rows with a null language, or without a letter, teach nothing.
+    the driver. Rows with a null language, or without a letter, teach nothing. More than
+    ``MOST_LANGUAGES`` are an error, as machines grow with the square of their number.
     """
+    ship(labelled.sparkSession)
     rows = labelled.filter("lang IS NOT NULL")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages to learn: a machine for each pair of a family is too much")
     if not counts:
         return None
     share = F.create_map(*(F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, max_samples / n))))
@@ -147,6 +154,7 @@ def train(labelled: DataFrame, max_samples: int, families=FAMILIES) -> Identifie
 
 def identify(docs: DataFrame, model: Identifier | None, text: Column) -> DataFrame:
     """``docs`` with ``prediction: struct<lang_pred, score>``; ``und`` and 0 without a letter, a text or a model."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: languages times buckets
 
     @F.pandas_udf("lang_pred string, score double")

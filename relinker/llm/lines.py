@@ -146,7 +146,7 @@ def repeated_units(
     def cut(batches):
         for batch in batches:
             texts = batch["text"].tolist()
-            ids, tags = batch["doc_id"].to_numpy(np.int64), batch["tag"].to_numpy(np.int32)
+            ids, tags = batch["doc_id"].to_numpy(np.int64), batch["tag"].to_numpy(np.int64)
             for a, z in _lots([len(t) for t in texts]):
                 with np.errstate(over="ignore"):
                     u = units(texts[a:z], kinds)
@@ -154,8 +154,8 @@ def repeated_units(
                 yield pd.DataFrame({"doc_id": ids[row], "tag": tags[row], **u})
 
     with scratch(df.sparkSession) as keep:
-        docs = documents(df, id_col, text_col).filter("doc_id IS NOT NULL").withColumn("tag", F.hash("text"))
-        found = saved(docs.mapInPandas(cut, "doc_id long, tag int, kind byte, start int, end int, h1 long, h2 long"))
+        docs = documents(df, id_col, text_col).filter("doc_id IS NOT NULL").withColumn("tag", F.xxhash64("text"))
+        found = saved(docs.mapInPandas(cut, "doc_id long, tag long, kind byte, start int, end int, h1 long, h2 long"))
         firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tag", "start")).alias("first"), F.count("*").alias("n"))
         firsts = saved(firsts.filter("n > 1").select("h1", "h2", "first"))
         at_first = F.struct("doc_id", "tag", "start") == F.col("first")
@@ -175,7 +175,7 @@ def remove_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans")
     )
     text = F.col(text_col)
-    both = df.join(spans, (F.col(id_col) == F.col("__id")) & (F.hash(text) == F.col("__tag")), "left")
+    both = df.join(spans, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text) == F.col("__tag")), "left")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),

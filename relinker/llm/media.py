@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relinker.llm.common import ship
+
 WIDTH, MOST_LINES, FPS = 64, 64, 25
 
 #: The code of difference category s has 9 - s bits, and s bits follow: 9 bits a sample,
@@ -452,6 +454,7 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     line of zeros). Narrow: one row at a time, nothing is shuffled; null ids and
     repeated rows stay; other columns are not carried.
     """
+    ship(df.sparkSession)
 
     @F.pandas_udf(
         "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string,"

@@ -96,9 +96,13 @@ class WordTokens:
         """Little-endian unsigned 32-bit ids of each text."""
         import unicodedata
 
+        def strange(t: str) -> bool:
+            """Whether a character is newer than the tables that the tokenizer may have."""
+            return any(unicodedata.category(c) == "Cn" for c in set(t) if c > "\x7f")
+
         plain = [
             not any(c in t for c in _ODD)
-            and (t.isascii() or unicodedata.is_normalized("NFC", t) and not any(c in t for c in _ODD_LETTERS))
+            and (t.isascii() or unicodedata.is_normalized("NFC", t) and not any(c in t for c in _ODD_LETTERS) and not strange(t))
             for t in texts
         ]
         split = [t.lower().split() if p else [] for p, t in zip(plain, texts)]
@@ -218,11 +222,12 @@ def best_fit_pack(pieces: DataFrame, capacity: int, salts: int | None = None) ->
     Every row with a length from 1 to ``capacity`` gets a place; offsets in a
     sequence are gapless from 0. Ties (equal lengths, repeated or null ids) are
     dealt by salt and id, and are interchangeable. An empty input gives no rows.
-    The pieces are saved once, so a retried task sees the same ranks.
+    The pieces are saved once, with their salts, so a retried task sees the same ranks
+    and no id or length has more than its share of a task.
     """
     spark = pieces.sparkSession
     salts = salts or max(8, parts(spark))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     salted = saved(salted)
     groups = saved(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")))
     #: One row for each length from 1 to capacity: bounded, whatever the corpus.

@@ -203,7 +203,7 @@ def _trained(docs: DataFrame, labels: DataFrame, label_id: str, label_col: str,
         return pd.Series([pooled(t, shared.value).astype(np.float16).tobytes() for t in texts], dtype=object)
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_fold, F.lit(False))
-    marks = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).alias("label")).filter("label IN (0, 1)")
+    marks = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).alias("label")).filter("label IN (0, 1)").distinct()
     ids = docs.filter(~held).select("doc_id")
     share = max_samples / max(1, ids.join(marks, "doc_id").count())
     drawn = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6 < share).join(ids.distinct(), "doc_id", "left_semi")

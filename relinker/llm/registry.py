@@ -61,6 +61,14 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_units(table(spark, sf_dir, "documents"), kinds=("line",)).drop("tag", "kind")
 
 
+def repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_units(table(spark, sf_dir, "documents"), kinds=("paragraph",)).drop("tag", "kind")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.ruled(table(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -105,9 +113,13 @@ QUERIES = {
     "op11_chat": op11_chat,
     "op12_merkle": op12_merkle,
     "op13_divergence": op13_divergence,
+    "repeated_paragraphs": repeated_paragraphs,
+    "url_rules": url_rules,
 }
 #: What the others decide by (a tokenizer, trained models, XXH64, suffix arrays, media) is no SQL.
 ORACLE = {
+    "repeated_paragraphs": sql.PARAGRAPHS,
+    "url_rules": sql.URL_RULES,
     "op11_chat": sql.CHAT,
     "op12_merkle": sql.MANIFEST,
     "op13_divergence": sql.DIVERGENCE,

@@ -1,4 +1,4 @@
-"""DuckDB SQL that chat formatting, the manifest and the divergence audit are held against."""
+"""DuckDB SQL that chat formatting, the manifest, the divergence audit, paragraphs and URL rules are held against."""
 
 from __future__ import annotations
 
@@ -98,3 +98,32 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM scored)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
 FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
+#: A paragraph is a run of lines with words, two at least.
+PARAGRAPHS = rf"""WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE doc_id IS NOT NULL),
+each AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM texts),
+placed AS (
+  SELECT r, doc_id, i, SUM(length(line) + 1) OVER (PARTITION BY r ORDER BY i) - 1 AS "end", length(line) AS size,
+         trim(regexp_replace(translate(line, '{_UPPER}', '{_LOWER}'), '[\x09-\x0D\x20]+', ' ', 'g')) AS words
+  FROM each),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY r ORDER BY i) AS run FROM placed WHERE words <> ''),
+units AS (
+  SELECT doc_id, CAST(MIN("end" - size) AS INTEGER) AS start, CAST(MAX("end") AS INTEGER) AS "end", string_agg(words, ' ' ORDER BY i) AS unit
+  FROM runs GROUP BY r, doc_id, run HAVING COUNT(*) > 1),
+ranked AS (
+  SELECT *, first(doc_id) OVER w AS kept_doc_id, first(start) OVER w AS kept_start
+  FROM units WINDOW w AS (PARTITION BY unit ORDER BY doc_id, start))
+SELECT doc_id, start, "end", kept_doc_id, kept_start FROM ranked WHERE doc_id <> kept_doc_id OR start <> kept_start"""
+
+URL_RULES = rf"""WITH parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{_UPPER}', '{_LOWER}'), '') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+rules(name, prefix, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fits AS (
+  SELECT page_id, name || prefix AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(name || prefix) DESC) AS k
+  FROM parts JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, prefix))
+SELECT p.page_id, p.host, p.path, f.rule, f.verdict FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1"""

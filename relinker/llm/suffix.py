@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relinker.llm.common import parts, remove, saved, scratch, shared_dir
+from relinker.llm.common import parts, remove, saved, scratch, shared_dir, ship
 
 _ODD = np.uint64(0xBF58476D1CE4E5B9)
 #: Bytes of an anchor: shorter ones meet by chance, longer ones are more.
@@ -495,6 +495,7 @@ def substring_dedup(
     neither later pass shuffles them; it is dropped when the result is saved.
     """
     spark = df.sparkSession
+    ship(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("same"))
     name = f"dedup_{uuid.uuid4().hex}"

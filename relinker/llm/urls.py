@@ -103,6 +103,14 @@ def _rule_names(rules) -> list[str]:
     return sorted({n for host, path, _ in rules for n in re.findall("[a-z]+", f"{host} {path}".lower())})
 
 
+def ruled(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
+    """Id, host, path, rule and the rule's verdict (both null without one) for each row of ``df``: one narrow projection."""
+    host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
+    rows = df.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    hit = _longest_rule(F.col("host"), F.col("path"), rules).alias("hit")
+    return rows.select("*", hit).select(id_col, "host", "path", "hit.rule", "hit.verdict")
+
+
 def filter_urls(
     df: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", rules=RULES,
     learn: Column | None = None, split: bool = True,
@@ -156,4 +164,4 @@ def filter_urls(
     )
 
 
-__all__ = ["RULES", "filter_urls", "host_of", "path_of", "segment", "viterbi", "word_counts"]
+__all__ = ["RULES", "filter_urls", "host_of", "path_of", "ruled", "segment", "viterbi", "word_counts"]

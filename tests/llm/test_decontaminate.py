@@ -77,3 +77,9 @@ def test_edges(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(df, items).collect()) == [1, 2, 6]
     assert decontaminate.contamination(df.limit(0), items).collect() == []
     assert decontaminate.contamination(df, items.limit(0)).collect() == []
+
+
+def test_tiny_items_match_exactly_and_inside_words(spark):
+    docs = spark.createDataFrame([(1, "The cathedral."), (2, "THE CAT"), (3, "the cst"), (4, "cat the")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "the cat")], "item_id long, text string")
+    assert {(r.doc_id, r.distance) for r in decontaminate.contamination(docs, items).collect()} == {(1, 0), (2, 0)}

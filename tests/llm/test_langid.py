@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from relinker.llm import langid, registry
 
@@ -47,3 +48,10 @@ def test_edges(spark):
     assert by[None].lang_pred == by[4].lang_pred == "en" and by[99].lang_pred == "de" and by[None].held_out is False
     assert langid.language_id(df.limit(0)).collect() == []
     assert {r.lang_pred for r in langid.language_id(df.filter("doc_id = 4")).collect()} == {"und"}
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    rows = [(i, f"some words {i}", f"l{i % 4}") for i in range(40)]
+    with pytest.raises(ValueError, match="over 3 languages"):
+        langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

@@ -77,3 +77,29 @@ def test_edges(spark):
     )
     check_bins(got, 2048)
     assert packing.pack_documents(df.limit(0), PATH).collect() == []
+
+
+def test_characters_newer_than_the_tokenizer(spark):
+    """Every code point between words and inside one: as the tokenizer has it."""
+    import unicodedata
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    odd = [c for c in codes if unicodedata.category(chr(c)) == "Cn"]
+    some = [*odd[:: len(odd) // 3000], *codes[::149], 0x88F, 0x208F, 0x209D]
+    texts = [f"ab{chr(c)}cd {chr(c)} e{chr(c)}" for c in some]
+    got = packing.WordTokens.of(path).encode(texts)
+    want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
+def test_one_id_and_length_for_all(spark):
+    """Rows that share a null id, a piece and a length are dealt to all salts."""
+    pieces = spark.createDataFrame([(None, 0, 700)] * 500, "doc_id long, piece int, length long")
+    rows = packing.best_fit_pack(pieces, 2048, salts=8).collect()
+    check_bins(rows, 2048)
+    assert len({r.sequence_id for r in rows}) == 250

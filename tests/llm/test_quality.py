@@ -57,3 +57,10 @@ def test_edges(spark):
     assert len(same) == 1 and len({r.score for r in got if r.doc_id == 7}) == 1
     assert quality.quality_scores(df.limit(0), labels).collect() == []
     assert len(quality.quality_scores(df, labels.limit(0)).collect()) == len(rows)
+
+
+def test_repeated_labels_teach_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    one = sorted(map(tuple, quality.quality_scores(docs, labels).collect()))
+    assert sorted(map(tuple, quality.quality_scores(docs, labels.union(labels).union(labels)).collect())) == one
