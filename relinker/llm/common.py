@@ -120,6 +120,18 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def lots(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes come to ``most`` together, or of one that is larger."""
+    first = held = 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
 #: Edges up to which components are found in one task (a few MB), without a shuffle for each step.
 SMALL_GRAPH = 100_000
 

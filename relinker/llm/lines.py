@@ -6,22 +6,25 @@ original text. Lines and paragraphs are taken whole, however short. A passage th
 put into the middle of other text is no line there, so windows of words are hashed
 too: of each ``AMONG`` neighbouring windows the one with the least hash (winnowing),
 which picks the same windows wherever the passage stands.
+
+``repeated_units`` gives the units as they were hashed. ``repeated_runs`` goes on from
+there: it follows a repeat to its ends, word by word, and leaves what is kept whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relinker.llm.common import documents, saved, scratch
+from relinker.llm.common import documents, lots, saved, scratch
 
 KINDS = ("line", "paragraph", "passage")
 #: Words of a passage window, and windows of which one is taken: any repeat of WINDOW + AMONG - 1 words is met.
 WINDOW, AMONG = 16, 24
+#: Words compared on each side of a window: so many can lie between a repeat's end and its next window.
+BESIDE = AMONG - 1
 #: Bytes of the texts that are cut at once; a longer text is cut alone.
 _LOT = 1 << 20
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -115,15 +118,24 @@ def units(texts: list[str], kinds: tuple[str, ...] = KINDS) -> dict[str, np.ndar
     return {"doc": doc[a], "kind": kind, "start": points[start] - base, "end": points[end] - base, "h1": h1, "h2": h2}
 
 
-def _lots(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    a = held = 0
-    for i, n in enumerate(sizes):
-        if held and held + n > _LOT:
-            yield a, i
-            a, held = i, 0
-        held += n
-    if a < len(sizes):
-        yield a, len(sizes)
+def _units_of(docs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """The units of ``docs(doc_id, text, tag)``."""
+
+    def cut(batches):
+        for batch in batches:
+            texts = batch["text"].tolist()
+            ids, tags = batch["doc_id"].to_numpy(np.int64), batch["tag"].to_numpy(np.int64)
+            for a, z in lots([len(t) for t in texts], _LOT):
+                with np.errstate(over="ignore"):
+                    u = units(texts[a:z], kinds)
+                row = u.pop("doc") + a
+                yield pd.DataFrame({"doc_id": ids[row], "tag": tags[row], **u})
+
+    return docs.mapInPandas(cut, "doc_id long, tag long, kind byte, start int, end int, h1 long, h2 long")
+
+
+def _tagged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return documents(df, id_col, text_col).filter("doc_id IS NOT NULL").withColumn("tag", F.xxhash64("text"))
 
 
 def repeated_units(
@@ -142,20 +154,8 @@ def repeated_units(
     rank and are left out; rows that repeat an id and text repeat its units at the
     same place, and count as one with it.
     """
-
-    def cut(batches):
-        for batch in batches:
-            texts = batch["text"].tolist()
-            ids, tags = batch["doc_id"].to_numpy(np.int64), batch["tag"].to_numpy(np.int64)
-            for a, z in _lots([len(t) for t in texts]):
-                with np.errstate(over="ignore"):
-                    u = units(texts[a:z], kinds)
-                row = u.pop("doc") + a
-                yield pd.DataFrame({"doc_id": ids[row], "tag": tags[row], **u})
-
     with scratch(df.sparkSession) as keep:
-        docs = documents(df, id_col, text_col).filter("doc_id IS NOT NULL").withColumn("tag", F.xxhash64("text"))
-        found = saved(docs.mapInPandas(cut, "doc_id long, tag long, kind byte, start int, end int, h1 long, h2 long"))
+        found = saved(_units_of(_tagged(df, id_col, text_col), kinds))
         firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tag", "start")).alias("first"), F.count("*").alias("n"))
         firsts = saved(firsts.filter("n > 1").select("h1", "h2", "first"))
         at_first = F.struct("doc_id", "tag", "start") == F.col("first")
@@ -165,13 +165,135 @@ def repeated_units(
         return keep(later.select("doc_id", "tag", name, "start", "end", *kept))
 
 
+def _placed_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (code points) and hash of each word of a text, as ``units`` takes words."""
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass").lower() + b"\n", np.uint8)
+    edge = np.flatnonzero(np.diff(((b == 32) | ((b >= 9) & (b <= 13))).astype(np.int8), prepend=1))
+    begin, stop = edge[0::2], edge[1::2]
+    points = np.concatenate(([0], np.cumsum((b & 0xC0) != 0x80)))
+    with np.errstate(over="ignore"):
+        return points[begin], points[stop], _range_hashes(b.astype(np.uint64) + np.uint64(1), begin, stop, 0)
+
+
+def _alike(words: np.ndarray, at: np.ndarray, step: int, beside: np.ndarray, least: int = 0) -> np.ndarray:
+    """How many of ``beside`` the words have in a row, from each place on, in steps of 1 or -1, not before ``least``."""
+    out = [np.empty(0, np.int64)]
+    for some in np.array_split(at, len(at) // 65536 + 1):
+        i = some[:, None] + step * np.arange(len(beside))
+        same = (i >= least) & (i < len(words))
+        same &= words[np.where(same, i, 0)] == beside
+        out.append(np.cumprod(same, axis=1, dtype=np.int64).sum(axis=1))
+    return np.concatenate(out)
+
+
+def _beside(batches):
+    """For each kept window of each text, the hashes of the words before (nearest first) and after it."""
+    for batch in batches:
+        for text, starts, h1, h2 in zip(*(batch[c] for c in ("text", "starts", "h1", "h2"))):
+            begin, _, words = _placed_words(text)
+            at = np.searchsorted(begin, starts)
+            before = [words[max(0, i - BESIDE) : i][::-1].tobytes() for i in at]
+            after = [words[i + WINDOW : i + WINDOW + BESIDE].tobytes() for i in at]
+            yield pd.DataFrame({"h1": h1, "h2": h2, "before": before, "after": after})
+
+
+def _runs(batches):
+    """The maximal runs of words that each text loses."""
+    for batch in batches:
+        columns = ("doc_id", "tag", "text", "kind", "starts", "ends", "own_end", "before", "after", "kept_starts", "kept_ends")
+        for doc, tag, text, *digests, kept_starts, kept_ends in zip(*(batch[c] for c in columns)):
+            begin, stop, words = _placed_words(text)
+            spans = []
+            for kind, starts, ends, own_end, before, after in zip(*digests):
+                a, z = np.searchsorted(begin, starts), np.searchsorted(begin, ends)
+                if KINDS[kind] == "passage":
+                    least = 0 if own_end < 0 else np.searchsorted(begin, own_end)
+                    grow = _alike(words, z, 1, np.frombuffer(after, np.uint64))
+                    a, z = a - _alike(words, a - 1, -1, np.frombuffer(before, np.uint64), least), z + grow
+                spans.append((a, z))
+            a, z = (np.concatenate(side) for side in zip(*spans))
+            goes, stays = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64)
+            np.add.at(goes, a, 1)
+            np.add.at(goes, z, -1)
+            gone = np.cumsum(goes) > 0
+            if kept_starts is not None:
+                ka, kz = np.searchsorted(begin, kept_starts), np.searchsorted(begin, kept_ends)
+                many = np.concatenate(([0], np.cumsum(gone)))
+                whole = many[kz] - many[ka] < kz - ka  # repeats do not cover all of it
+                np.add.at(stays, ka[whole], 1)
+                np.add.at(stays, kz[whole], -1)
+                gone &= np.cumsum(stays) == 0
+            edge = np.flatnonzero(np.diff(gone[:-1].astype(np.int8), prepend=0, append=0))
+            first, end = edge[0::2], edge[1::2]
+            yield pd.DataFrame({"doc_id": doc, "tag": tag, "start": begin[first], "end": stop[end - 1], "n_words": end - first})
+
+
+def repeated_runs(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, kinds: tuple[str, ...] = KINDS
+) -> DataFrame:
+    """A row for each maximal run of words that an earlier place has too: ``doc_id, tag, start, end, n_words``.
+
+    The units of ``repeated_units``, and besides:
+
+    - A passage that repeats is followed to both sides, by up to ``BESIDE`` words, as
+      long as the words are those beside the kept occurrence (within one text, not back
+      into that occurrence). Where the kept occurrence lies in the same repeat, all
+      words of a repeat of WINDOW + AMONG - 1 or more go. Words are compared by 64-bit
+      hashes.
+    - A kept occurrence stays whole, even where other repeats overlap it, unless
+      repeats cover all of its words, which earlier places then have. Any word that
+      goes has an equal one at an earlier place (doc_id, tag, start), and those in turn
+      until one that stays.
+
+    Places are code points, from a run's first word to the end of its last; white space
+    around a run stays. Nulls, empty texts, null ids and repeated rows are as in
+    ``repeated_units``. Only texts with repeats are read again, each joined to its own
+    places: of a digest, a text gets its places and one pair of neighbourhoods
+    (2 x ``BESIDE`` hashes), however often it holds it, so a row follows the text's length.
+    """
+    with scratch(df.sparkSession) as keep:
+        docs = _tagged(df, id_col, text_col)
+        found = saved(_units_of(docs, kinds))
+        place = F.struct("doc_id", "tag", "start", "end")
+        ends = (F.min(place).alias("first"), F.max(place).alias("last"), F.min("kind").alias("kind"))
+        firsts = saved(found.groupBy("h1", "h2").agg(*ends).filter("first <> last").select("h1", "h2", "kind", "first.*"))
+        passages = firsts.filter(F.col("kind") == KINDS.index("passage")).groupBy("doc_id", "tag")
+        passages = passages.agg(F.collect_list(F.struct("start", "h1", "h2")).alias("w"))
+        passages = docs.join(passages, ["doc_id", "tag"]).select("text", F.col("w.start").alias("starts"), "w.h1", "w.h2")
+        beside = passages.mapInPandas(_beside, "h1 long, h2 long, before binary, after binary").dropDuplicates(["h1", "h2"])
+        known = firsts.select("h1", "h2", place.alias("first")).join(beside, ["h1", "h2"], "left")
+        later = found.join(known, ["h1", "h2"]).filter(place != F.col("first"))
+        own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag"))
+        later = later.withColumn("own_end", F.when(own, F.col("first.end")).otherwise(-1))
+        digests = later.groupBy("doc_id", "tag", "h1", "h2").agg(
+            F.collect_set(F.struct("start", "end")).alias("p"), *(F.min(c).alias(c) for c in ("kind", "own_end", "before", "after"))
+        )
+        each = F.struct("kind", F.col("p.start").alias("starts"), F.col("p.end").alias("ends"), "own_end", "before", "after")
+        digests = digests.groupBy("doc_id", "tag").agg(F.collect_list(each).alias("d"))
+        kept = firsts.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("k"))
+        both = docs.join(digests.join(kept, ["doc_id", "tag"], "left"), ["doc_id", "tag"])
+        fields = (f"d.{c}" for c in ("kind", "starts", "ends", "own_end", "before", "after"))
+        both = both.select("doc_id", "tag", "text", *fields, F.col("k.start").alias("kept_starts"), F.col("k.end").alias("kept_ends"))
+        runs = both.mapInPandas(_runs, "doc_id long, tag long, start int, end int, n_words int")
+        return keep(runs.dropDuplicates(["doc_id", "tag", "start"]))
+
+
 def remove_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``df``, all its columns, with the repeated units cut out of ``text_col``.
 
     Each text is cut by its own spans, also where an id has several; spans may
     overlap. A null text or id stays as it is.
     """
-    spans = repeated_units(df, id_col, text_col, **kw).groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(
+    return _without(df, repeated_units(df, id_col, text_col, **kw), id_col, text_col)
+
+
+def remove_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """``df``, all its columns, without the runs of ``repeated_runs``; else as ``remove_units``."""
+    return _without(df, repeated_runs(df, id_col, text_col, **kw), id_col, text_col)
+
+
+def _without(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    spans = found.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans")
     )
     text = F.col(text_col)

@@ -65,6 +65,10 @@ def repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_units(table(spark, sf_dir, "documents"), kinds=("paragraph",)).drop("tag", "kind")
 
 
+def repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_runs(table(spark, sf_dir, "documents")).drop("tag")
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.ruled(table(spark, sf_dir, "pages"))
 
@@ -115,6 +119,7 @@ QUERIES = {
     "op13_divergence": op13_divergence,
     "repeated_paragraphs": repeated_paragraphs,
     "url_rules": url_rules,
+    "repeated_runs": repeated_runs,
 }
 #: What the others decide by (a tokenizer, trained models, XXH64, suffix arrays, media) is no SQL.
 ORACLE = {

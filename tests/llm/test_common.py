@@ -3,6 +3,8 @@ import subprocess
 import sys
 import textwrap
 
+from relinker.llm.common import lots
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -24,3 +26,8 @@ def test_operators_on_frames_that_the_user_read(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "sent" in done.stdout, done.stderr[-2000:]
+
+
+def test_lots():
+    assert list(lots([], 5)) == [] and list(lots([9], 5)) == [(0, 1)]
+    assert list(lots([1, 4, 1, 9, 0, 5, 1], 5)) == [(0, 2), (2, 3), (3, 4), (4, 6), (6, 7)]
