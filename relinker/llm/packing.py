@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from relinker.llm.common import documents, parts, saved
+from relinker.llm.common import documents, lots, parts, saved
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: A text with one of these goes to the tokenizer whole: white space only to Python, special
@@ -30,6 +30,8 @@ _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _ODD_LETTERS = ("Σ", "İ", "\u0345")
 #: Words in each of the two generations that a worker holds.
 _CACHE = 400_000
+#: Characters of the texts that are split at once (their words are Python strings, ten times as large); a longer text is alone.
+_LOT = 1 << 20
 #: Signs that the tokenizer's split always sets apart from the letters before them.
 _STOPS = frozenset(".,;:!?")
 
@@ -133,9 +135,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
         tokens = WordTokens.of(tokenizer)
         for batch in batches:
             out = []
-            for lo in range(0, len(batch), 200):
-                some = batch.iloc[lo : lo + 200]
-                for doc, ids in zip(some["doc_id"].tolist(), tokens.encode(some["text"].tolist())):
+            texts, docs_of = batch["text"].tolist(), batch["doc_id"].tolist()
+            for lo, hi in lots([len(t) for t in texts], _LOT):
+                for doc, ids in zip(docs_of[lo:hi], tokens.encode(texts[lo:hi])):
                     ids += b"\0\0\0\0"
                     doc = None if pd.isna(doc) else int(doc)
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
