@@ -175,13 +175,15 @@ def _placed_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return points[begin], points[stop], _range_hashes(b.astype(np.uint64) + np.uint64(1), begin, stop, 0)
 
 
-def _alike(words: np.ndarray, at: np.ndarray, step: int, beside: np.ndarray, least: int = 0) -> np.ndarray:
-    """How many of ``beside`` the words have in a row, from each place on, in steps of 1 or -1, not before ``least``."""
-    out = [np.empty(0, np.int64)]
-    for some in np.array_split(at, len(at) // 65536 + 1):
-        i = some[:, None] + step * np.arange(len(beside))
-        same = (i >= least) & (i < len(words))
-        same &= words[np.where(same, i, 0)] == beside
+def _alike(words: np.ndarray, at: np.ndarray, step: int, beside: list[bytes], which: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """How many words in a row, from each place on in steps of 1 or -1 and not before ``least``, are those of ``beside[which]``."""
+    size = np.array([len(x) // 8 for x in beside])
+    hashes = np.frombuffer(b"".join(x.ljust(8 * BESIDE, b"\0") for x in beside), np.uint64).reshape(-1, BESIDE)
+    far, out = np.arange(BESIDE), []
+    for some in np.array_split(np.arange(len(at)), len(at) // 65536 + 1):
+        i, w = at[some, None] + step * far, which[some]
+        same = (i >= least[some, None]) & (i < len(words)) & (far < size[w, None])
+        same &= words[np.where(same, i, 0)] == hashes[w]
         out.append(np.cumprod(same, axis=1, dtype=np.int64).sum(axis=1))
     return np.concatenate(out)
 
@@ -189,29 +191,34 @@ def _alike(words: np.ndarray, at: np.ndarray, step: int, beside: np.ndarray, lea
 def _beside(batches):
     """For each kept window of each text, the hashes of the words before (nearest first) and after it."""
     for batch in batches:
-        for text, starts, h1, h2 in zip(*(batch[c] for c in ("text", "starts", "h1", "h2"))):
+        before, after = [], []
+        for text, starts in zip(batch["text"], batch["starts"]):
             begin, _, words = _placed_words(text)
-            at = np.searchsorted(begin, starts)
-            before = [words[max(0, i - BESIDE) : i][::-1].tobytes() for i in at]
-            after = [words[i + WINDOW : i + WINDOW + BESIDE].tobytes() for i in at]
+            for i in np.searchsorted(begin, starts).tolist():
+                before.append(words[max(0, i - BESIDE) : i][::-1].tobytes())
+                after.append(words[i + WINDOW : i + WINDOW + BESIDE].tobytes())
+        if before:
+            h1, h2 = (np.concatenate(batch[c].tolist()) for c in ("h1", "h2"))
             yield pd.DataFrame({"h1": h1, "h2": h2, "before": before, "after": after})
 
 
 def _runs(batches):
     """The maximal runs of words that each text loses."""
+    columns = ("text", "kind", "starts", "ends", "own_end", "before", "after", "kept_starts", "kept_ends")
     for batch in batches:
-        columns = ("doc_id", "tag", "text", "kind", "starts", "ends", "own_end", "before", "after", "kept_starts", "kept_ends")
-        for doc, tag, text, *digests, kept_starts, kept_ends in zip(*(batch[c] for c in columns)):
+        many_runs, starts_of, ends_of, sizes_of = [], [], [], []
+        for text, kind, starts, ends, own_end, before, after, kept_starts, kept_ends in zip(*(batch[c] for c in columns)):
             begin, stop, words = _placed_words(text)
-            spans = []
-            for kind, starts, ends, own_end, before, after in zip(*digests):
-                a, z = np.searchsorted(begin, starts), np.searchsorted(begin, ends)
-                if KINDS[kind] == "passage":
-                    least = 0 if own_end < 0 else np.searchsorted(begin, own_end)
-                    grow = _alike(words, z, 1, np.frombuffer(after, np.uint64))
-                    a, z = a - _alike(words, a - 1, -1, np.frombuffer(before, np.uint64), least), z + grow
-                spans.append((a, z))
-            a, z = (np.concatenate(side) for side in zip(*spans))
+            which = np.repeat(np.arange(len(kind)), [len(s) for s in starts])
+            a, z = (np.searchsorted(begin, np.concatenate(list(side))) for side in (starts, ends))
+            passage = np.flatnonzero(np.asarray(kind)[which] == KINDS.index("passage"))
+            if len(passage):
+                digest, own = which[passage], np.asarray(own_end)[which[passage]]
+                least = np.where(own < 0, 0, np.searchsorted(begin, own))
+                left = _alike(words, a[passage] - 1, -1, [x or b"" for x in before], digest, least)
+                right = _alike(words, z[passage], 1, [x or b"" for x in after], digest, np.zeros_like(least))
+                a[passage] -= left
+                z[passage] += right
             goes, stays = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64)
             np.add.at(goes, a, 1)
             np.add.at(goes, z, -1)
@@ -225,7 +232,14 @@ def _runs(batches):
                 gone &= np.cumsum(stays) == 0
             edge = np.flatnonzero(np.diff(gone[:-1].astype(np.int8), prepend=0, append=0))
             first, end = edge[0::2], edge[1::2]
-            yield pd.DataFrame({"doc_id": doc, "tag": tag, "start": begin[first], "end": stop[end - 1], "n_words": end - first})
+            many_runs.append(len(first))
+            starts_of.append(begin[first])
+            ends_of.append(stop[end - 1])
+            sizes_of.append(end - first)
+        if many_runs:
+            ids, tags = (batch[c].to_numpy(np.int64).repeat(many_runs) for c in ("doc_id", "tag"))
+            start, end, size = (np.concatenate(x) for x in (starts_of, ends_of, sizes_of))
+            yield pd.DataFrame({"doc_id": ids, "tag": tags, "start": start, "end": end, "n_words": size})
 
 
 def repeated_runs(
