@@ -25,6 +25,8 @@ KINDS = ("line", "paragraph", "passage")
 WINDOW, AMONG = 16, 24
 #: Words compared on each side of a window: so many can lie between a repeat's end and its next window.
 BESIDE = AMONG - 1
+#: Bytes of a word's hash that are sent for that: a wrong word goes once in some 5 x 10^11 matches.
+_SENT = 5
 #: Bytes of the texts that are cut at once; a longer text is cut alone.
 _LOT = 1 << 20
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -175,10 +177,19 @@ def _placed_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return points[begin], points[stop], _range_hashes(b.astype(np.uint64) + np.uint64(1), begin, stop, 0)
 
 
+def _sent(words: np.ndarray) -> bytes:
+    """The low ``_SENT`` bytes of each hash."""
+    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SENT].tobytes()
+
+
 def _alike(words: np.ndarray, at: np.ndarray, step: int, beside: list[bytes], which: np.ndarray, least: np.ndarray) -> np.ndarray:
     """How many words in a row, from each place on in steps of 1 or -1 and not before ``least``, are those of ``beside[which]``."""
-    size = np.array([len(x) // 8 for x in beside])
-    hashes = np.frombuffer(b"".join(x.ljust(8 * BESIDE, b"\0") for x in beside), np.uint64).reshape(-1, BESIDE)
+    size = np.array([len(x) // _SENT for x in beside])
+    hashes = np.zeros((len(beside), BESIDE, 8), np.uint8)
+    sent = np.frombuffer(b"".join(x.ljust(_SENT * BESIDE, b"\0") for x in beside), np.uint8)
+    hashes[:, :, :_SENT] = sent.reshape(-1, BESIDE, _SENT)
+    hashes = hashes.view("<u8")[:, :, 0]
+    words = words & np.uint64((1 << 8 * _SENT) - 1)
     far, out = np.arange(BESIDE), []
     for some in np.array_split(np.arange(len(at)), len(at) // 65536 + 1):
         i, w = at[some, None] + step * far, which[some]
@@ -195,8 +206,8 @@ def _beside(batches):
         for text, starts in zip(batch["text"], batch["starts"]):
             begin, _, words = _placed_words(text)
             for i in np.searchsorted(begin, starts).tolist():
-                before.append(words[max(0, i - BESIDE) : i][::-1].tobytes())
-                after.append(words[i + WINDOW : i + WINDOW + BESIDE].tobytes())
+                before.append(_sent(words[max(0, i - BESIDE) : i][::-1]))
+                after.append(_sent(words[i + WINDOW : i + WINDOW + BESIDE]))
         if before:
             h1, h2 = (np.concatenate(batch[c].tolist()) for c in ("h1", "h2"))
             yield pd.DataFrame({"h1": h1, "h2": h2, "before": before, "after": after})
@@ -252,7 +263,7 @@ def repeated_runs(
     - A passage that repeats is followed to both sides, by up to ``BESIDE`` words, as
       long as the words are those beside the kept occurrence (within one text, not back
       into that occurrence). Where the kept occurrence lies in the same repeat, all
-      words of a repeat of WINDOW + AMONG - 1 or more go. Words are compared by 64-bit
+      words of a repeat of WINDOW + AMONG - 1 or more go. Words are compared by 40-bit
       hashes.
     - A kept occurrence stays whole, even where other repeats overlap it, unless
       repeats cover all of its words, which earlier places then have. Any word that
