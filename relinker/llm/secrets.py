@@ -85,15 +85,8 @@ def _scan_with_text(docs: DataFrame, min_length: int) -> DataFrame:
     return docs.withColumns({"base": F.concat(*base), "runs": runs})
 
 
-#: Texts that the identifiers' model learns from, about; a bound on training whatever the corpus.
-MOST_TEXTS = 4_000
-
-
-def corpus_samples(docs: DataFrame, max_texts: int = MOST_TEXTS) -> DataFrame:
-    """Samples ``value, label`` of ordinary identifiers (label 0) in ``docs(text)``, which no secret can be among.
-
-    They come from about ``max_texts`` texts, chosen by their hash: the model has 67 x 67
-    transitions, for which that is plenty.
+def corpus_samples(docs: DataFrame) -> DataFrame:
+    """Samples ``value, label`` of ordinary identifiers (label 0) in all of ``docs(text)``, which no secret can be among.
 
     Words are whole tokens of 3 to 11 letters that two documents have: shorter than any
     secret. A sample is a token whose letters are such words, apart from signs, digits
@@ -101,8 +94,6 @@ def corpus_samples(docs: DataFrame, max_texts: int = MOST_TEXTS) -> DataFrame:
     one source repeats weighs no more, and keys without words never count.
     """
     tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(f"{_RUN}{{3,}}"), F.lit(0)))
-    share = max_texts / max(1, docs.count())
-    docs = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6 < share)
     counted = saved(docs.select(F.explode(tokens).alias("value")).filter(F.length("value") <= 256).groupBy("value").count())
     words = counted.filter((F.col("count") >= 2) & F.col("value").rlike(r"\A[A-Za-z]{3,11}\z"))
     words = words.select(F.lower("value").alias("word")).distinct()

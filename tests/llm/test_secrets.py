@@ -151,6 +151,13 @@ def test_held_out_strings_and_names(spark):
     assert max(share[k] for k in ("snake", "camel", "upper snake")) <= 0.02
 
 
+def test_samples_of_a_whole_corpus(spark):
+    """Each of many texts has an identifier of its own, and all of them are learned from."""
+    rows = [(f"the session and index of session_index_{'0123456789'[i % 10]}{i} here",) for i in range(6_000)]
+    got = {r.value for r in secrets.corpus_samples(spark.createDataFrame(rows, "text string")).collect()}
+    assert {t.split()[-2] for t, in rows} <= got
+
+
 def test_drawn_samples(spark):
     rows = secrets.random_samples(spark, 500).collect()
     assert len({r.value for r in rows}) == 500 and all(r.label == 1 and len(r.value) == 32 and set(r.value) <= set(secrets.ALPHABET) for r in rows)
