@@ -10,6 +10,7 @@ and each piece finds its bin and place from its length and rank alone.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Sequence
@@ -24,12 +25,14 @@ from pyspark.sql.window import Window
 from relinker.llm.common import documents, lots, parts, saved
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: A text with one of these goes to the tokenizer whole: white space only to Python, special
+#: A text with one of these goes to the tokenizer whole: white space only to Python, zero (fills keys), special
 #: tokens, and letters whose lower case depends on their neighbours.
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+_ODD = ("\0", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _ODD_LETTERS = ("Σ", "İ", "\u0345")
-#: Words in each of the two generations that a worker holds.
-_CACHE = 400_000
+#: White space beyond ASCII, as Python splits by it.
+_WHITE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Words that a worker holds, and those of a lot of texts; bytes of a word that is looked up there.
+_CACHE, _KEY = 800_000, 16
 #: Characters of the texts that are split at once (their words are Python strings, ten times as large); a longer text is alone.
 _LOT = 1 << 20
 #: Signs that the tokenizer's split always sets apart from the letters before them.
@@ -40,8 +43,8 @@ class WordTokens:
     """Token ids of whole texts, word by word.
 
     The tokenizer drops white space and never joins across it, so a text's ids are
-    its words' ids one after the other; words met before come from a bounded cache
-    of two generations: what was met since the last turn outlives the next.
+    its words' ids one after the other; words met before come from a bounded table,
+    of which what was met again since its last turn outlives the next.
     """
 
     _open: dict[str, WordTokens] = {}
@@ -59,8 +62,10 @@ class WordTokens:
         #: Fixed value: the tokenizer's own split into what it encodes on its own.
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.units: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        #: The words met, by hash (the last is none): two halves of the key, place and number of ids in the pool, whether met again since the last turn.
+        self.hash, self.low, self.high = np.array([2**64 - 1], np.uint64), np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+        self.at, self.many, self.met = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, bool)
+        self.pool = np.empty(0, "<u4")
 
     @classmethod
     def of(cls, path: str) -> WordTokens:
@@ -107,25 +112,84 @@ class WordTokens:
             and (t.isascii() or unicodedata.is_normalized("NFC", t) and not any(c in t for c in _ODD_LETTERS) and not strange(t))
             for t in texts
         ]
-        split = [t.lower().split() if p else [] for p, t in zip(plain, texts)]
-        if len(self.words) > _CACHE:
-            self.older, self.words, self.units = self.words, {}, {}
-        known, older = self.words, self.older
-        here: dict[str, bytes] = {}  # small, so that the texts' words are looked up in a processor's cache
-        new: list[str] = []
-        for w in set().union(*split):
-            ids = known.get(w) or older.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                known[w] = here[w] = ids
-        cut = [self._units(w) for w in new]
+        data = [_WHITE.sub(" ", t.lower()).encode("utf-8", "surrogatepass") if p else b"" for p, t in zip(plain, texts)]
+        ids, bounds = self._encode_words(data)
+        return [ids[a:z].tobytes() if p else self._whole(t) for p, t, a, z in zip(plain, texts, bounds, bounds[1:])]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, by its parts."""
+        cut = [self._units(w) for w in words]
+        if len(self.units) > _CACHE // 4:
+            self.units = {}
         self._learn([u for u in set().union(*cut) if u not in self.units])
         unit = self.units.__getitem__
-        for w, u in zip(new, cut):
-            known[w] = here[w] = unit(u[0]) if len(u) == 1 else b"".join(map(unit, u))
-        word = here.__getitem__
-        return [b"".join(map(word, w)) if p else self._whole(t) for p, w, t in zip(plain, split, texts)]
+        return [unit(u[0]) if len(u) == 1 else b"".join(map(unit, u)) for u in cut]
+
+    def _turn(self) -> None:
+        """Keep the words met again since the last turn, or none if they are too many."""
+        keep = np.flatnonzero(self.met) if self.met.sum() <= _CACHE // 2 else np.zeros(1, np.int64)
+        keep = np.union1d(keep, [len(self.hash) - 1])
+        self.pool, ends = _gathered(self.pool, self.at[keep], self.many[keep])
+        self.hash, self.low, self.high, self.many = (x[keep] for x in (self.hash, self.low, self.high, self.many))
+        self.at, self.met = ends[:-1], np.zeros(len(keep), bool)
+
+    def _more(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Put the words' ids into the pool: their places and numbers there."""
+        found = self._ids(words)
+        many = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
+        at = len(self.pool) + np.cumsum(many) - many
+        self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(found), "<u4")))
+        return at, many
+
+    def _encode_words(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of all of ``data``, and where those of each begin and end.
+
+        A word of up to ``_KEY`` bytes is its own key, as two 64-bit numbers, so words are looked up
+        for a lot at once; their hash only orders the table, and keys are compared.
+        """
+        if len(self.hash) > _CACHE:
+            self._turn()
+        line = b"\n".join([*data, bytes(_KEY)])
+        b = np.frombuffer(line, np.uint8)
+        white = (b == 32) | ((b >= 9) & (b <= 13))
+        white[-_KEY:] = True
+        edge = np.flatnonzero(np.diff(white.view(np.int8), prepend=np.int8(1)))
+        begin, stop = edge[0::2], edge[1::2]
+        starts = np.cumsum([0, *(len(d) + 1 for d in data)])
+        size = stop - begin
+        key = np.lib.stride_tricks.sliding_window_view(b, _KEY)[begin]
+        key[np.arange(_KEY) >= size[:, None]] = 0
+        low, high = key.view("<u8").T
+        with np.errstate(over="ignore"):
+            hashes = (low ^ (high * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
+            hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes ^= hashes >> np.uint64(32)
+        word = lambda i: line[begin[i] : stop[i]].decode("utf-8", "surrogatepass")
+        each, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        here = np.minimum(np.searchsorted(self.hash, each), len(self.hash) - 1)
+        hit = (self.hash[here] == each) & (self.low[here] == low[first]) & (self.high[here] == high[first])
+        fits = size[first] <= _KEY
+        new = np.flatnonzero(~hit & fits)
+        at, many = self.at[here], self.many[here]
+        self.met[here[hit]] = True
+        at[new], many[new] = self._more([word(i) for i in first[new].tolist()])
+        # longer words, and those whose hash another has, go by themselves
+        alone = np.flatnonzero((size > _KEY) | (low != low[first[which]]) | (high != high[first[which]]) | ~fits[which])
+        at, many = at[which], many[which]
+        if len(alone):
+            at[alone], many[alone] = self._more([word(i) for i in alone.tolist()])
+        ids, ends = _gathered(self.pool, at, many)
+        new = new[self.hash[here[new]] != each[new]]
+        place, source = np.searchsorted(self.hash, each[new]), first[new]
+        for name, values in (("hash", each[new]), ("low", low[source]), ("high", high[source]), ("at", at[source]), ("many", many[source]), ("met", False)):
+            setattr(self, name, np.insert(getattr(self, name), place, values))
+        return ids, ends[np.searchsorted(begin, starts)]
+
+
+def _gathered(pool: np.ndarray, at: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of a pool, one after the other, and where each begins, with the end."""
+    ends = np.concatenate(([0], np.cumsum(many)))
+    return pool[np.arange(ends[-1]) + np.repeat(at - ends[:-1], many)], ends
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:

@@ -103,3 +103,23 @@ def test_one_id_and_length_for_all(spark):
     rows = packing.best_fit_pack(pieces, 2048, salts=8).collect()
     check_bins(rows, 2048)
     assert len({r.sequence_id for r in rows}) == 250
+
+
+def test_words_are_looked_up_by_the_lot(spark, monkeypatch):
+    """Ids as by the tokenizer through turns of the table, and known words cost no Python step each."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "_CACHE", 50)
+    tokenizer, words = Tokenizer.from_file(PATH), packing.WordTokens(PATH)
+    texts = [f"w{i}x Same {'long' * (i % 7)}end\u00a0{i * 7919} \x00 caf\u00e9\u3000" if i % 3 else f"Plain {i} text, {'a' * (i % 40)}" for i in range(300)]
+    texts += ["", " ", "a\0", "a", "abcdefghijklmnop", "abcdefghijklmnopq", "\u2003"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        got = [g for i in range(0, len(texts), 40) for g in words.encode(texts[i : i + 40])]
+        assert [[int.from_bytes(g[k : k + 4], "little") for k in range(0, len(g), 4)] for g in got] == want
+    asked, real = [], packing.WordTokens._ids
+    monkeypatch.setattr(packing, "_CACHE", 10_000)
+    monkeypatch.setattr(packing.WordTokens, "_ids", lambda self, w: asked.extend(w) or real(self, w))
+    some = ["the same words again and again"] * 50
+    words.encode(some), asked.clear(), words.encode(some)
+    assert asked == []
