@@ -13,10 +13,10 @@ there: it follows a repeat to its ends, word by word, and leaves what is kept wh
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +73,8 @@ def _least_windows(hashes: np.ndarray, fits: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     back = np.lib.stride_tricks.sliding_window_view(hashes, AMONG)[:, ::-1]
     whole = np.flatnonzero(fits[: len(back)])
-    return np.unique(np.concatenate([i + AMONG - 1 - back[i].argmin(axis=1) for i in np.array_split(whole, len(whole) // 65536 + 1)]))
+    found = np.concatenate([i + AMONG - 1 - back[i].argmin(axis=1) for i in np.array_split(whole, len(whole) // 65536 + 1)])
+    return found[np.diff(found, prepend=-1) > 0]  # they never go back
 
 
 def units(texts: list[str], kinds: tuple[str, ...] = KINDS) -> dict[str, np.ndarray]:
@@ -96,7 +97,7 @@ def units(texts: list[str], kinds: tuple[str, ...] = KINDS) -> dict[str, np.ndar
     words = [_range_hashes(wide, begin, stop, i) for i in range(2)]
     newline = np.flatnonzero(b == 10)
     line = np.searchsorted(newline, begin)
-    doc = np.searchsorted(doc_starts, begin, side="right") - 1
+    doc = np.repeat(np.arange(len(data)), np.diff(np.searchsorted(begin, doc_starts)))
     found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # kind, first and last word, first and last byte
     first = np.flatnonzero(np.diff(line, prepend=-1))
     last = np.concatenate((first[1:], [len(line)]))
@@ -151,15 +152,15 @@ def repeated_units(
     paragraph or passage (of ``WINDOW`` words) and ``tag`` a hash of the text, which
     tells texts under one id apart. Units rank by (doc_id, tag, start); the first of
     each digest is kept, within a document too. Any repeat of WINDOW + AMONG - 1 words
-    is met by a passage; words at its ends, and some between passages, may stay. Digests
-    are grouped over all documents, with partial sums before the shuffle, and a digest
-    that is everywhere is one row of the group; its occurrences meet it in a join that
-    Spark may split. Null and empty texts have no units. Rows with a null id have no
+    is met by a passage; words at its ends, and some between passages, may stay. Hashes
+    are counted over all documents, and digests grouped where the first 64 bits repeat,
+    with partial sums before the shuffle: a digest that is everywhere is one row of the
+    group, and its occurrences meet it in a join that Spark may split. Null and empty texts have no units. Rows with a null id have no
     rank and are left out; rows that repeat an id and text repeat its units at the
     same place, and count as one with it.
     """
     with scratch(df.sparkSession) as keep:
-        found = saved(_units_of(_tagged(df, id_col, text_col), kinds))
+        found = _repeated(saved(_units_of(_tagged(df, id_col, text_col), kinds)))
         firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tag", "start")).alias("first"), F.count("*").alias("n"))
         firsts = saved(firsts.filter("n > 1").select("h1", "h2", "first"))
         at_first = F.struct("doc_id", "tag", "start") == F.col("first")
@@ -169,101 +170,143 @@ def repeated_units(
         return keep(later.select("doc_id", "tag", name, "start", "end", *kept))
 
 
+def _repeated(found: DataFrame) -> DataFrame:
+    """The rows of units whose ``h1`` another row has too: all that repeat, and next to none that occurs once.
+
+    Over all units only hashes are counted (8 bytes each to shuffle); what is sorted and grouped after is the repeats alone.
+    No side of the join is sorted: the hashed one has a row per ``h1`` that repeats, dealt out evenly.
+    """
+    often = saved(found.groupBy("h1").count().filter("count > 1").select("h1"))
+    return saved(found.join(often.hint("shuffle_hash"), "h1", "left_semi"))
+
+
 def _squeezed(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, tag, text)`` with texts as zlib's bytes, a third less to shuffle than as Spark sends them."""
+    """``docs(doc_id, tag, size, text)``: A-Z lower-cased, as Zstandard's bytes, and how many there were; less to shuffle."""
 
     def squeeze(batches):
+        codec = pa.Codec("zstd", compression_level=1)
         for batch in batches:
-            batch["text"] = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch["text"]]
-            yield batch
-
-    return docs.select("doc_id", "tag", "text").mapInPandas(squeeze, "doc_id long, tag long, text binary")
+            texts = [t.lower() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            columns = [batch.column("doc_id"), batch.column("tag"), pa.array([len(t) for t in texts], pa.int32())]
+            text = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, text], ["doc_id", "tag", "size", "text"])
 
+    return docs.select("doc_id", "tag", "text").mapInArrow(squeeze, "doc_id long, tag long, size int, text binary")
 
-def _placed_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (code points) and hash of each word of a squeezed text, as ``units`` takes words."""
-    b = np.frombuffer(zlib.decompress(text).lower() + b"\n", np.uint8)
-    edge = np.flatnonzero(np.diff(((b == 32) | ((b >= 9) & (b <= 13))).astype(np.int8), prepend=1))
-    begin, stop = edge[0::2], edge[1::2]
-    points = np.concatenate(([0], np.cumsum((b & 0xC0) != 0x80)))
-    with np.errstate(over="ignore"):
-        return points[begin], points[stop], _range_hashes(b.astype(np.uint64) + np.uint64(1), begin, stop, 0)
 
+class _Words:
+    """The words of squeezed texts, as ``units`` takes words: starts, ends (code points) and hashes.
 
-def _sent(words: np.ndarray) -> bytes:
-    """The low ``_SENT`` bytes of each hash."""
-    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SENT].tobytes()
-
+    ``first``: each text's first word, and the number of all.
+    """
 
-def _alike(words: np.ndarray, at: np.ndarray, step: int, beside: list[bytes], which: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """How many words in a row, from each place on in steps of 1 or -1 and not before ``least``, are those of ``beside[which]``."""
-    size = np.array([len(x) // _SENT for x in beside])
-    hashes = np.zeros((len(beside), BESIDE, 8), np.uint8)
-    sent = np.frombuffer(b"".join(x.ljust(_SENT * BESIDE, b"\0") for x in beside), np.uint8)
-    hashes[:, :, :_SENT] = sent.reshape(-1, BESIDE, _SENT)
+    def __init__(self, rows: pa.RecordBatch):
+        codec = pa.Codec("zstd")
+        sizes, texts = (rows.column(c).to_pylist() for c in ("size", "text"))
+        b = np.frombuffer(b"\n".join([*(codec.decompress(t, n, asbytes=True) if n else b"" for t, n in zip(texts, sizes)), b""]), np.uint8)
+        heads = np.cumsum([0, *(n + 1 for n in sizes)])
+        edge = np.flatnonzero(np.diff(((b == 32) | ((b >= 9) & (b <= 13))).astype(np.int8), prepend=1))
+        begin, stop = edge[0::2], edge[1::2]
+        self.first = np.searchsorted(begin, heads)
+        points = np.concatenate(([0], np.cumsum((b & 0xC0) != 0x80)))
+        text = np.repeat(np.arange(len(sizes)), np.diff(self.first))
+        base = points[heads[text]]
+        self.begin, self.stop = points[begin] - base, points[stop] - base
+        self.place = (text << 32) + self.begin
+        with np.errstate(over="ignore"):
+            self.hashes = _range_hashes(b.astype(np.uint64) + np.uint64(1), begin, stop, 0)
+
+    def at(self, text: np.ndarray, point: np.ndarray) -> np.ndarray:
+        """The first word of each text that starts at a code point or after it; the next text's first, if none does."""
+        return np.searchsorted(self.place, (text << 32) + point)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row of each value in a column of arrays (null: none), and the values."""
+    return np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy()), column.flatten()
+
+
+def _sent(words: _Words, at: np.ndarray, within: np.ndarray) -> pa.Array:
+    """The low ``_SENT`` bytes of the hashes of those words in each row of ``at`` that are ``within``, in a row."""
+    ends = np.concatenate(([0], np.cumsum(within.sum(axis=1) * _SENT))).astype(np.int32)
+    sent = words.hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[at[within], :_SENT]
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(sent.tobytes())])
+
+
+def _alike(words: np.ndarray, at: np.ndarray, step: int, beside: pa.Array, which: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many words in a row, from each place on in steps of 1 or -1 and from ``least`` to before ``most``, are those of ``beside[which]``."""
+    size = pc.binary_length(beside).fill_null(0).to_numpy() // _SENT
+    far, out = np.arange(BESIDE), [np.empty(0, np.int64)]
+    hashes = np.zeros((len(size), BESIDE, 8), np.uint8)
+    sent = np.frombuffer(b"".join(x for x in beside.to_pylist() if x), np.uint8)
+    hashes[:, :, :_SENT][far < size[:, None]] = sent.reshape(-1, _SENT)
     hashes = hashes.view("<u8")[:, :, 0]
     words = words & np.uint64((1 << 8 * _SENT) - 1)
-    far, out = np.arange(BESIDE), []
     for some in np.array_split(np.arange(len(at)), len(at) // 65536 + 1):
         i, w = at[some, None] + step * far, which[some]
-        same = (i >= least[some, None]) & (i < len(words)) & (far < size[w, None])
+        same = (i >= least[some, None]) & (i < most[some, None]) & (far < size[w, None])
         same &= words[np.where(same, i, 0)] == hashes[w]
-        out.append(np.cumprod(same, axis=1, dtype=np.int64).sum(axis=1))
+        out.append(np.cumprod(same, axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64))
     return np.concatenate(out)
 
 
+def _in_lots(batches):
+    """Rows of squeezed texts that are worked on at once."""
+    for batch in batches:
+        for a, z in lots(batch.column("size").to_pylist(), _LOT):
+            yield batch.slice(a, z - a)
+
+
 def _beside(batches):
     """For each kept window of each text, the hashes of the words before (nearest first) and after it."""
-    for batch in batches:
-        before, after = [], []
-        for text, starts in zip(batch["text"], batch["starts"]):
-            begin, _, words = _placed_words(text)
-            for i in np.searchsorted(begin, starts).tolist():
-                before.append(_sent(words[max(0, i - BESIDE) : i][::-1]))
-                after.append(_sent(words[i + WINDOW : i + WINDOW + BESIDE]))
-        if before:
-            h1, h2 = (np.concatenate(batch[c].tolist()) for c in ("h1", "h2"))
-            yield pd.DataFrame({"h1": h1, "h2": h2, "before": before, "after": after})
+    far = np.arange(BESIDE)
+    for rows in _in_lots(batches):
+        words = _Words(rows)
+        text, starts = _flat(rows.column("starts"))
+        at = words.at(text, starts.to_numpy())
+        h1, h2 = (rows.column(c).flatten() for c in ("h1", "h2"))
+        for a in range(0, len(at), 65536):
+            i, t = at[a : a + 65536, None], text[a : a + 65536]
+            back, on = i - 1 - far, i + WINDOW + far
+            before = _sent(words, back, back >= words.first[t][:, None])
+            after = _sent(words, on, on < words.first[t + 1][:, None])
+            yield pa.RecordBatch.from_arrays([h1.slice(a, 65536), h2.slice(a, 65536), before, after], ["h1", "h2", "before", "after"])
 
 
 def _runs(batches):
     """The maximal runs of words that each text loses."""
-    columns = ("text", "kind", "starts", "ends", "own_end", "before", "after", "kept_starts", "kept_ends")
-    for batch in batches:
-        many_runs, starts_of, ends_of, sizes_of = [], [], [], []
-        for text, kind, starts, ends, own_end, before, after, kept_starts, kept_ends in zip(*(batch[c] for c in columns)):
-            begin, stop, words = _placed_words(text)
-            which = np.repeat(np.arange(len(kind)), [len(s) for s in starts])
-            a, z = (np.searchsorted(begin, np.concatenate(list(side))) for side in (starts, ends))
-            passage = np.flatnonzero(np.asarray(kind)[which] == KINDS.index("passage"))
-            if len(passage):
-                digest, own = which[passage], np.asarray(own_end)[which[passage]]
-                least = np.where(own < 0, 0, np.searchsorted(begin, own))
-                left = _alike(words, a[passage] - 1, -1, [x or b"" for x in before], digest, least)
-                right = _alike(words, z[passage], 1, [x or b"" for x in after], digest, np.zeros_like(least))
-                a[passage] -= left
-                z[passage] += right
-            goes, stays = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64)
-            np.add.at(goes, a, 1)
-            np.add.at(goes, z, -1)
-            gone = np.cumsum(goes) > 0
-            if kept_starts is not None:
-                ka, kz = np.searchsorted(begin, kept_starts), np.searchsorted(begin, kept_ends)
-                many = np.concatenate(([0], np.cumsum(gone)))
-                whole = many[kz] - many[ka] < kz - ka  # repeats do not cover all of it
-                np.add.at(stays, ka[whole], 1)
-                np.add.at(stays, kz[whole], -1)
-                gone &= np.cumsum(stays) == 0
-            edge = np.flatnonzero(np.diff(gone[:-1].astype(np.int8), prepend=0, append=0))
-            first, end = edge[0::2], edge[1::2]
-            many_runs.append(len(first))
-            starts_of.append(begin[first])
-            ends_of.append(stop[end - 1])
-            sizes_of.append(end - first)
-        if many_runs:
-            ids, tags = (batch[c].to_numpy(np.int64).repeat(many_runs) for c in ("doc_id", "tag"))
-            start, end, size = (np.concatenate(x) for x in (starts_of, ends_of, sizes_of))
-            yield pd.DataFrame({"doc_id": ids, "tag": tags, "start": start, "end": end, "n_words": size})
+    for rows in _in_lots(batches):
+        words = _Words(rows)
+        of_digest, kind = _flat(rows.column("kind"))
+        which, starts = _flat(rows.column("starts").flatten())
+        ends = rows.column("ends").flatten().flatten()
+        text = of_digest[which]
+        a, z = (words.at(text, side.to_numpy()) for side in (starts, ends))
+        some = np.flatnonzero(kind.to_numpy()[which] == KINDS.index("passage"))
+        if len(some):
+            digest, t = which[some], text[some]
+            own = rows.column("own_end").flatten().to_numpy()[digest]
+            least, most = words.first[t], words.first[t + 1]
+            before, after = (rows.column(c).flatten() for c in ("before", "after"))
+            left = _alike(words.hashes, a[some] - 1, -1, before, digest, np.where(own < 0, least, words.at(t, own)), most)
+            right = _alike(words.hashes, z[some], 1, after, digest, least, most)
+            a[some] -= left
+            z[some] += right
+        # a text's words have a slot each, and one more that nothing takes: so no run goes on in the next text
+        n = len(words.begin) + len(rows) + 1
+        covered = lambda a, z: np.cumsum(np.bincount(a, minlength=n) - np.bincount(z, minlength=n)) > 0
+        gone = covered(a + text, z + text)
+        kept, kept_starts = _flat(rows.column("kept_starts"))
+        ka, kz = (words.at(kept, side.to_numpy()) + kept for side in (kept_starts, rows.column("kept_ends").flatten()))
+        many = np.concatenate(([0], np.cumsum(gone)))
+        whole = many[kz] - many[ka] < kz - ka  # repeats do not cover all of it
+        gone &= ~covered(ka[whole], kz[whole])
+        edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+        first, end = edge[0::2], edge[1::2]
+        t = np.repeat(np.arange(len(rows)), np.diff(words.first) + 1)[first]
+        place = (words.begin[first - t], words.stop[end - 1 - t], end - first)
+        columns = [rows.column(c).take(pa.array(t)) for c in ("doc_id", "tag")] + [pa.array(x, pa.int32()) for x in place]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "start", "end", "n_words"])
 
 
 def repeated_runs(
@@ -291,15 +334,15 @@ def repeated_runs(
     """
     with scratch(df.sparkSession) as keep:
         docs = _tagged(df, id_col, text_col)
-        found = saved(_units_of(docs, kinds))
+        found = _repeated(saved(_units_of(docs, kinds)))
         place = F.struct("doc_id", "tag", "start", "end")
         ends = (F.min(place).alias("first"), F.max(place).alias("last"), F.min("kind").alias("kind"))
         firsts = saved(found.groupBy("h1", "h2").agg(*ends).filter("first <> last").select("h1", "h2", "kind", "first.*"))
         passages = firsts.filter(F.col("kind") == KINDS.index("passage")).groupBy("doc_id", "tag")
         passages = passages.agg(F.collect_list(F.struct("start", "h1", "h2")).alias("w"))
         docs = _squeezed(docs)
-        passages = docs.join(passages, ["doc_id", "tag"]).select("text", F.col("w.start").alias("starts"), "w.h1", "w.h2")
-        beside = passages.mapInPandas(_beside, "h1 long, h2 long, before binary, after binary").dropDuplicates(["h1", "h2"])
+        passages = docs.join(passages, ["doc_id", "tag"]).select("size", "text", F.col("w.start").alias("starts"), "w.h1", "w.h2")
+        beside = passages.mapInArrow(_beside, "h1 long, h2 long, before binary, after binary").dropDuplicates(["h1", "h2"])
         known = firsts.select("h1", "h2", place.alias("first")).join(beside, ["h1", "h2"], "left")
         later = found.join(known, ["h1", "h2"]).filter(place != F.col("first"))
         own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag"))
@@ -312,8 +355,8 @@ def repeated_runs(
         kept = firsts.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("k"))
         both = docs.join(digests.join(kept, ["doc_id", "tag"], "left"), ["doc_id", "tag"])
         fields = (f"d.{c}" for c in ("kind", "starts", "ends", "own_end", "before", "after"))
-        both = both.select("doc_id", "tag", "text", *fields, F.col("k.start").alias("kept_starts"), F.col("k.end").alias("kept_ends"))
-        runs = both.mapInPandas(_runs, "doc_id long, tag long, start int, end int, n_words int")
+        both = both.select("doc_id", "tag", "size", "text", *fields, F.col("k.start").alias("kept_starts"), F.col("k.end").alias("kept_ends"))
+        runs = both.mapInArrow(_runs, "doc_id long, tag long, start int, end int, n_words int")
         return keep(runs.dropDuplicates(["doc_id", "tag", "start"]))
 
 

@@ -2,9 +2,10 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from relinker.llm import lines, registry
+from relinker.llm.common import saved
 
 WORD = re.compile("[^ \t-\r]+")
 SCHEMA = "doc_id long, text string"
@@ -110,3 +111,26 @@ def test_edges(spark):
     assert clean[None] == line and clean[9].strip() == "" and clean[13] == rows[-1][1] and clean[3] == line + "\n"
     assert clean[10].split() == ["w"] * (lines.WINDOW + lines.AMONG - 1)
     assert lines.repeated_runs(df.limit(0)).collect() == []
+
+
+def test_units_that_occur_once_go_no_further(spark):
+    docs = lines._tagged(registry.table(spark, "/root/testdata/sf0.001", "documents"), "doc_id", "text")
+    found = saved(lines._units_of(docs, lines.KINDS))
+    times = Counter(r.h1 for r in found.collect())
+    want = Counter(tuple(r) for r in found.collect() if times[r.h1] > 1)
+    assert Counter(tuple(r) for r in lines._repeated(found).select(found.columns).collect()) == want
+    assert 0 < want.total() < found.count() / 2
+
+
+def test_runs_end_with_their_text(spark):
+    rng = random.Random(6)
+    words = lambda n: [f"{rng.choice(['ab', 'Ö', 'é'])}{rng.randrange(9999)}" for _ in range(n)]
+    one, two = (" ".join(words(60)) for _ in range(2))
+    rows = [(d, [one, f" {two}\n", f"{one} {' '.join(words(30))} {two}"][d % 3]) for d in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    together, apart = ({tuple(r) for r in lines.repeated_runs(df.repartition(n)).drop("tag").collect()} for n in (1, 30))
+    assert together == apart
+    for d, text in rows[3:]:
+        gone = sorted((a, z) for i, a, z, _ in together if i == d)
+        assert [text[a:z] for a, z in gone] == [[one], [two], [one, two]][d % 3]
+    assert {i for i, *_ in together if i < 3} == {2}
