@@ -344,12 +344,13 @@ def repeated_runs(
         passages = docs.join(passages, ["doc_id", "tag"]).select("size", "text", F.col("w.start").alias("starts"), "w.h1", "w.h2")
         beside = passages.mapInArrow(_beside, "h1 long, h2 long, before binary, after binary").dropDuplicates(["h1", "h2"])
         known = firsts.select("h1", "h2", place.alias("first")).join(beside, ["h1", "h2"], "left")
-        later = found.join(known, ["h1", "h2"]).filter(place != F.col("first"))
+        # a text's places of a digest are one row before they meet the neighbourhoods, and the join sorts neither side
+        places = found.repartition("h1", "h2").groupBy("h1", "h2", "doc_id", "tag")
+        places = places.agg(F.min("kind").alias("kind"), F.collect_set(F.struct("start", "end")).alias("p"))
         own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag"))
-        later = later.withColumn("own_end", F.when(own, F.col("first.end")).otherwise(-1))
-        digests = later.groupBy("doc_id", "tag", "h1", "h2").agg(
-            F.collect_set(F.struct("start", "end")).alias("p"), *(F.min(c).alias(c) for c in ("kind", "own_end", "before", "after"))
-        )
+        later = places.join(known.hint("shuffle_hash"), ["h1", "h2"]).withColumn("own_end", F.when(own, F.col("first.end")).otherwise(-1))
+        others = F.array_remove("p", F.struct("first.start", "first.end"))
+        digests = later.withColumn("p", F.when(own, others).otherwise(F.col("p"))).filter(F.size("p") > 0)
         each = F.struct("kind", F.col("p.start").alias("starts"), F.col("p.end").alias("ends"), "own_end", "before", "after")
         digests = digests.groupBy("doc_id", "tag").agg(F.collect_list(each).alias("d"))
         kept = firsts.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("k"))
