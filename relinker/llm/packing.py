@@ -18,22 +18,25 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from relinker.llm.common import documents, lots, parts, saved
+from relinker.llm.common import arrow_batches, documents, lots, parts, saved
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 #: A text with one of these goes to the tokenizer whole: white space only to Python, zero (fills keys), special
 #: tokens, and letters whose lower case depends on their neighbours.
 _ODD = ("\0", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _ODD_LETTERS = ("Σ", "İ", "\u0345")
 #: White space beyond ASCII, as Python splits by it.
 _WHITE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Words that a worker holds, and those of a lot of texts; bytes of a word that is looked up there.
-_CACHE, _KEY = 800_000, 16
-#: Characters of the texts that are split at once (their words are Python strings, ten times as large); a longer text is alone.
+#: Words and parts of words that a worker holds; bytes of a word that is looked up there.
+_CACHE, _UNITS, _KEY = 400_000, 50_000, 16
+#: Bytes of the texts that are strings at once and split at once (their words are ten times as large); a longer text is alone.
 _LOT = 1 << 20
 #: Signs that the tokenizer's split always sets apart from the letters before them.
 _STOPS = frozenset(".,;:!?")
@@ -119,7 +122,7 @@ class WordTokens:
     def _ids(self, words: list[str]) -> list[bytes]:
         """The ids of each word, by its parts."""
         cut = [self._units(w) for w in words]
-        if len(self.units) > _CACHE // 4:
+        if len(self.units) > _UNITS:
             self.units = {}
         self._learn([u for u in set().union(*cut) if u not in self.units])
         unit = self.units.__getitem__
@@ -133,13 +136,12 @@ class WordTokens:
         self.hash, self.low, self.high, self.many = (x[keep] for x in (self.hash, self.low, self.high, self.many))
         self.at, self.met = ends[:-1], np.zeros(len(keep), bool)
 
-    def _more(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Put the words' ids into the pool: their places and numbers there."""
+    def _more(self, pool: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool with the words' ids behind its own, and their places and numbers there."""
         found = self._ids(words)
         many = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
-        at = len(self.pool) + np.cumsum(many) - many
-        self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(found), "<u4")))
-        return at, many
+        at = len(pool) + np.cumsum(many) - many
+        return np.concatenate((pool, np.frombuffer(b"".join(found), "<u4"))), at, many
 
     def _encode_words(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words of all of ``data``, and where those of each begin and end.
@@ -172,13 +174,13 @@ class WordTokens:
         new = np.flatnonzero(~hit & fits)
         at, many = self.at[here], self.many[here]
         self.met[here[hit]] = True
-        at[new], many[new] = self._more([word(i) for i in first[new].tolist()])
-        # longer words, and those whose hash another has, go by themselves
+        self.pool, at[new], many[new] = self._more(self.pool, [word(i) for i in first[new].tolist()])
+        # longer words, and those whose hash another has, go by themselves: no key finds them again, so the pool doesn't keep them
         alone = np.flatnonzero((size > _KEY) | (low != low[first[which]]) | (high != high[first[which]]) | ~fits[which])
-        at, many = at[which], many[which]
+        pool, at, many = self.pool, at[which], many[which]
         if len(alone):
-            at[alone], many[alone] = self._more([word(i) for i in alone.tolist()])
-        ids, ends = _gathered(self.pool, at, many)
+            pool, at[alone], many[alone] = self._more(pool, [word(i) for i in alone.tolist()])
+        ids, ends = _gathered(pool, at, many)
         new = new[self.hash[here[new]] != each[new]]
         place, source = np.searchsorted(self.hash, each[new]), first[new]
         for name, values in (("hash", each[new]), ("low", low[source]), ("high", high[source]), ("at", at[source]), ("many", many[source]), ("met", False)):
@@ -198,19 +200,20 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     def cut(batches):
         tokens = WordTokens.of(tokenizer)
         for batch in batches:
-            out = []
-            texts, docs_of = batch["text"].tolist(), batch["doc_id"].tolist()
-            for lo, hi in lots([len(t) for t in texts], _LOT):
-                for doc, ids in zip(docs_of[lo:hi], tokens.encode(texts[lo:hi])):
+            for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+                pool.release_unused()  # what batches and stages before this one left with the allocators
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            for lo, hi in lots(sizes, _LOT):
+                some, out = batch.slice(lo, hi - lo), []
+                for doc, ids in zip(some.column("doc_id").to_pylist(), tokens.encode(some.column("text").to_pylist())):
                     ids += b"\0\0\0\0"
                     doc = None if pd.isna(doc) else int(doc)
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[at : at + 4 * capacity]
                         out.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
 
-    return docs.mapInPandas(cut, PIECES)
+    return docs.mapInArrow(cut, PIECES)
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
@@ -294,7 +297,8 @@ def best_fit_pack(pieces: DataFrame, capacity: int, salts: int | None = None) ->
     spark = pieces.sparkSession
     salts = salts or max(8, parts(spark))
     salted = pieces.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    salted = saved(salted)
+    with arrow_batches(spark):
+        salted = saved(salted)
     groups = saved(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")))
     #: One row for each length from 1 to capacity: bounded, whatever the corpus.
     histogram = {r[0]: r[1] for r in groups.groupBy("length").agg(F.sum("_n")).collect()}

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relinker.llm.common import documents
+from relinker.llm.common import arrow_batches, documents
 
 ROWS_BITS, DIMS, NONZERO = 14, 32, 3
 ROWS = 1 << ROWS_BITS
@@ -196,7 +196,8 @@ def _trained(docs: DataFrame, labels: DataFrame, label_id: str, label_col: str,
     Only the texts of the drawn labelled rows are pooled; their ids, ``max_samples`` or
     so at most, are broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))  # bounded: ROWS * DIMS
+    with arrow_batches(docs.sparkSession):
+        shared = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))  # bounded: ROWS * DIMS
 
     @F.pandas_udf("binary")
     def vector(texts: pd.Series) -> pd.Series:
@@ -207,7 +208,8 @@ def _trained(docs: DataFrame, labels: DataFrame, label_id: str, label_col: str,
     ids = docs.filter(~held).select("doc_id")
     share = max_samples / max(1, ids.join(marks, "doc_id").count())
     drawn = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6 < share).join(ids.distinct(), "doc_id", "left_semi")
-    rows = docs.filter(~held).join(F.broadcast(drawn), "doc_id").select(vector("text").alias("vector"), "label").collect()
+    with arrow_batches(docs.sparkSession):
+        rows = docs.filter(~held).join(F.broadcast(drawn), "doc_id").select(vector("text").alias("vector"), "label").collect()
     rows = sorted((bytes(r.vector), r.label) for r in rows)
     net = fit(_matrix(v for v, _ in rows), np.array([y for _, y in rows], np.float64))
     return shared, held, net

@@ -2,10 +2,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from relinker.llm import packing, registry
+from relinker.llm import common, packing, registry
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -123,3 +124,37 @@ def test_words_are_looked_up_by_the_lot(spark, monkeypatch):
     some = ["the same words again and again"] * 50
     words.encode(some), asked.clear(), words.encode(some)
     assert asked == []
+
+
+def test_words_without_a_key_leave_the_pool():
+    tokens = packing.WordTokens(PATH)
+    texts = [" ".join(f"interoperability{i}of{k}" for i in range(200)) for k in range(3)]
+    first = tokens.encode(texts)
+    held = len(tokens.pool)
+    assert held < sum(map(len, first)) // 8
+    for _ in range(5):
+        assert tokens.encode(texts) == first
+    assert len(tokens.pool) == held
+
+
+def test_worker_gets_texts_by_bytes(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    monkeypatch.setattr(packing, "saved", lambda df: seen.append(spark.conf.get(name, None)) or common.saved(df))
+    docs = spark.range(0, 60, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 40000) AS text")
+    assert packing.pack_documents(docs, PATH).agg({"length": "sum"}).first()[0] == 60 * 40_001
+    assert seen[0] == str(common.BATCH) and spark.conf.get(name, None) is None
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    many = lambda: docs.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
+    with common.arrow_batches(spark):
+        assert many() < 25
+    assert many() == 60
+    spark.conf.set(name, "300000")
+    try:
+        with common.arrow_batches(spark):
+            assert many() < 4 and spark.conf.get(name) == "300000"
+    finally:
+        spark.conf.unset(name)
